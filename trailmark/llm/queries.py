@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import decontam, quality, sharding, urls
+from trailmark.llm import decontam, html, licenses, neardup, pieces, quality, sharding, toxicity, urls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,28 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("record.doc_id", sharding.text_bytes(text).alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(_read(spark, sf_dir, "pages"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write_archive(_read(spark, sf_dir, "pages"))
+    return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(_read(spark, sf_dir, "documents").select("doc_id", "text"), k=4).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.scored(docs, toxicity.trained(docs, _read(spark, sf_dir, "labels")))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(_read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = urls.judged(_read(spark, sf_dir, "pages").select("page_id", "url"))
     return rows.select("record.page_id", "host", "path", "rule", "verdict", "score")
@@ -35,8 +57,32 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(pieces.encoded(_read(spark, sf_dir, "documents")))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+OPERATORS = (
+    op1_quality_rules,
+    op2_sharding,
+    op3_html_extraction,
+    op4_warc,
+    op5_minhash,
+    op6_toxicity,
+    op7_license_scan,
+    op8_url_filter,
+    op9_decontamination,
+    op10_sentencepiece,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_sharding, op8_url_filter, op9_decontamination)}
+    return {f.__name__: f for f in (*OPERATORS, pipeline)}
 
 
 _OP1 = r"""
@@ -55,6 +101,17 @@ b AS (SELECT *, ((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) > 0 AS base_failed, (fail_bits & 15) = 0 AS kept, fail_bits
 FROM b"""
 
+_OP5 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM d, unnest(generate_series(1, greatest(len(w) - 3, 1))) AS t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach(id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.a, reach.c FROM reach JOIN e ON e.b = reach.id),
+least AS (SELECT id, min(c) AS c FROM reach GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least.c AS component_id, d.doc_id = least.c AS kept
+FROM d JOIN least ON least.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
+
 _ALNUM = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 _OP9 = rf"""
@@ -72,4 +129,4 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN it USING (r)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _OP1, "op9_decontamination": _OP9}
+    return {"op1_quality_rules": _OP1, "op5_minhash": _OP5, "op9_decontamination": _OP9}
