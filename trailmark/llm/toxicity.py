@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailmark.llm import neardup
 from trailmark.llm.licenses import words_of
 from trailmark.llm.shared import written
 
@@ -42,6 +43,8 @@ SAMPLE = 12_000
 TRAIN = 20_000
 #: Terms kept, at most; voters that share them.
 TERMS, DEALT = 600, 6
+#: Least gain of a term, in nats: far above what chance gives the best of a million terms.
+GAIN = 16
 #: Lengths of the beginnings of words that can be terms, in bytes.
 HEADS = (4, 5, 6, 7)
 THRESHOLD = 0.3
@@ -81,19 +84,52 @@ def learned_terms(labelled: DataFrame) -> list[bytes]:
         return []
     counts = labelled.select("text", "toxic").mapInArrow(_term_counts, "term binary, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     ratio = F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1))
-    best = counts.where((F.col("pos") >= max(3, n_pos // 200)) & (ratio > 2.5)).withColumn("z", ratio * F.sqrt("pos"))
+    # log-likelihood that the term's own share of toxic texts gains over the general one
+    share, every = F.col("pos") / (F.col("pos") + F.col("neg")), n_pos / (n_pos + n_neg) if n_neg else 0.5
+    gain = F.col("pos") * F.log(share / every) + F.when(F.col("neg") > 0, F.col("neg") * F.log((1 - share) / (1 - every))).otherwise(0.0)
+    best = counts.where((F.col("pos") >= 3) & (ratio > 3) & (gain > GAIN)).withColumn("z", ratio * F.sqrt("pos"))
     rows = best.orderBy(F.desc("z"), "term").limit(4 * TERMS).collect()
     kept: list[bytes] = []
     seen: set[bytes] = set()
     for r in rows:
         t = bytes(r.term)
+        # a better term holds this one, or is what makes this beginning look good
         if t.rstrip(b"*") in seen or any(t.startswith(h[:-1]) for h in kept if h.endswith(b"*")):
             continue
+        if t.endswith(b"*") and any(k.startswith(t[:-1]) for k in kept):
+            continue
         kept.append(t)
         seen.add(t.rstrip(b"*"))
     return kept[:TERMS]
 
 
+def _once(labelled: DataFrame) -> DataFrame:
+    """One row of each group of near copies among ``SAMPLE`` rows at most, so that copies are no evidence."""
+
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                sets = [neardup.shingles(t.as_py(), 4) for t in batch.column("text")]
+                keys = [neardup.bands(x).view(np.int64).tolist() if len(x) else [] for x in sets]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "bands"])
+
+    rows = labelled.select("doc_id", "text").mapInArrow(banded, "doc_id long, bands array<long>").collect()
+    top = {r.doc_id: r.doc_id for r in rows}
+
+    def find(i: int) -> int:
+        while top[i] != i:
+            top[i] = i = top[top[i]]
+        return i
+
+    first: dict[int, int] = {}
+    for r in rows:
+        for key in r.bands:
+            a, b = find(r.doc_id), find(first.setdefault(key, r.doc_id))
+            top[max(a, b)] = min(a, b)
+    kept = labelled.sparkSession.createDataFrame([(i,) for i in top if find(i) == i], "doc_id long")
+    return labelled.join(F.broadcast(kept), "doc_id")
+
+
 class _Hits(dict):
     """The term that a word is or begins with, -1 for none."""
 
@@ -222,8 +258,8 @@ def trained(docs: DataFrame, labels: DataFrame) -> Scorer:
     known = written(known, "labels")
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     texts = docs.select("doc_id", "text")
-    labelled = written(texts.join(F.broadcast(sample), "doc_id").select("text", "toxic"), "labelled")
-    voters = Voters(learned_terms(labelled))
+    labelled = written(texts.join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic"), "labelled")
+    voters = Voters(learned_terms(_once(labelled)))
     shared = sc.broadcast(voters)  # TERMS terms at most
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
