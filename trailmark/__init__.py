@@ -1,0 +1 @@
+"""Analytics on moving-object trajectories with Spark DataFrames."""
