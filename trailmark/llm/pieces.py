@@ -28,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -210,7 +211,7 @@ def model(data: bytes) -> Model:
 def _slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``most`` bytes."""
     start = size = 0
-    for i, n in enumerate(pa.compute.binary_length(texts).to_pylist()):
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
         size += n or 0
         if size >= most:
             yield start, i + 1
