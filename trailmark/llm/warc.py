@@ -93,12 +93,16 @@ def _number(text: Column) -> Column:
     return F.nullif(text, F.lit("")).try_cast("bigint")
 
 
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """What lies between magic lines: value, file, block, and ``at``, which grows within a block and is the same in each scan."""
+    raw = spark.read.option("lineSep", MAGIC).text(path)
+    return raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+
+
 def candidates(spark: SparkSession, path: str) -> DataFrame:
     """A row for each occurrence of the magic line: file, block, off, next, the header's
     values, digest of the payload if the piece is the whole record, else the piece itself."""
-    raw = spark.read.option("lineSep", MAGIC).text(path)
-    rows = raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    rows = rows.withColumn("head", F.concat(F.lit("\r\n"), F.substring_index("value", END, 1)))
+    rows = _pieces(spark, path).withColumn("head", F.concat(F.lit("\r\n"), F.substring_index("value", END, 1)))
     rows = rows.withColumn("size", _number(_head("Content-Length", "[0-9]{1,18}")))
     body = F.expr("substring(value, length(head) + 3)")  # the head has 2 characters more, the blank line 4
     rows = rows.withColumn("body", body)
@@ -183,7 +187,14 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     good = spots.join(on_chain, ["file", "off"], "left_semi")
     whole = good.where("digest is not null")
     # records cut by a magic line in their payload: put their pieces together again
-    pieces = spots.where("piece is not null").join(on_chain.withColumn("on", F.lit(True)), ["file", "off"], "left")
+    parts = spots.where("piece is not null").select("file", "off", "piece")
+    # pieces that look like records but lie in another's payload: only now is their text needed
+    lost = spots.where("digest is not null").join(on_chain, ["file", "off"], "left_anti").select("file", "block", "at", "off")
+    n_lost = lost.count()
+    if n_lost:
+        found = _pieces(spark, path).join(F.broadcast(lost) if n_lost <= FEW else lost, ["file", "block", "at"])
+        parts = parts.unionByName(found.select("file", "off", F.col("value").alias("piece")))
+    pieces = parts.join(on_chain.withColumn("on", F.lit(True)), ["file", "off"], "left")
     to_here = W.partitionBy("file").orderBy("off").rowsBetween(W.unboundedPreceding, 0)
     pieces = pieces.withColumn("record", F.last(F.when(F.col("on"), F.col("off")), True).over(to_here))
     joined = pieces.groupBy("file", F.col("record").alias("off")).agg(F.sort_array(F.collect_list(F.struct("off", "piece"))).alias("p"))
