@@ -50,7 +50,7 @@ LEAST_RUN = 3
 GAP = 8
 #: Share of a template that a chain must cover.
 COVER = 0.85
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 200_000
 _SPACED = bytes(c + 32 if 65 <= c <= 90 else c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
 

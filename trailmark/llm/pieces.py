@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-KEPT = 800_000
+KEPT = 250_000
 #: Pairs of pieces whose verdict a worker keeps.
-KEPT_PAIRS = 2_000_000
+KEPT_PAIRS = 400_000
 #: Fixed values of the model format: kinds of piece and of model.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2

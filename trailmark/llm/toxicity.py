@@ -48,7 +48,7 @@ GAIN = 16
 #: Lengths of the beginnings of words that can be terms, in bytes.
 HEADS = (4, 5, 6, 7)
 THRESHOLD = 0.3
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 200_000
 #: Insults in common use.
 INSULTS = "idiot moron stupid loser clown trash scum pathetic worthless disgusting imbecile dumbass bastard asshole".split()
 #: Votes.
@@ -274,10 +274,11 @@ def trained(docs: DataFrame, labels: DataFrame) -> Scorer:
     rows = written(texts.select("doc_id", "text", share.alias("train")).mapInArrow(votes, "doc_id long, code long, inputs array<double>"), "votes")
     rows = rows.join(known, "doc_id", "left").withColumn("label", F.coalesce("toxic", F.lit(-1)))
     counted = {(r.code, r.label): r.n for r in rows.groupBy("code", "label").agg(F.count("*").alias("n")).collect()}  # 3 ** N_VOTERS combinations at most
+    if not counted:
+        return Scorer(voters, np.zeros(8 + DEALT + 1))
     posterior = label_model(counted)
+    # at a share of one document in n // TRAIN there are some, but for tiny tables all
     train = rows.where("inputs is not null").select("code", "inputs").limit(2 * TRAIN).collect()
-    if not train:
-        return Scorer(voters, np.zeros(8 + DEALT + 1))
     return Scorer(voters, regression(np.array([r.inputs for r in train]), np.array([posterior[r.code] for r in train])))
 
 
