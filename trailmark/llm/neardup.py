@@ -18,8 +18,9 @@ what links connect, and its smallest doc_id names it.
   whole sets taken from the texts again. What is linked to the pivot needs no
   further look among itself. A member at a distance d > 1 - s from its pivot
   can only be linked to members whose distance from the same pivot differs from
-  d by 1 - s at most (Jaccard distance is a metric); such pairs, unless
-  already connected, are compared as well. So no link between different
+  d by 1 - s at most (Jaccard distance is a metric); of such pairs, unless
+  already connected, those whose longer sketches are not clearly too unlike
+  are compared as well. So no link between different
   components is lost, and a group of n copies costs n comparisons.
 * Components: smallest labels spread along links, with pointer jumping.
 
@@ -42,12 +43,14 @@ from pyspark.sql import functions as F
 from trailmark.llm.shared import written
 
 SLOTS, BANDS, ROWS = 96, 24, 4
+#: Places of the longer sketch that sorts out pairs of a bucket before they are compared.
+MARKS = 2048
 #: Nodes to verify that are broadcast to the scan of the texts; more are joined by shuffle.
 FEW = 200_000
 #: Members that one pivot's copy of its set serves.
 CHUNK = 256
 #: Word hashes that a Python worker keeps.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 200_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -86,13 +89,13 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     return np.unique(out)
 
 
-def sketch(items: np.ndarray) -> np.ndarray:
-    """``SLOTS`` numbers; equal ones in the same place are as likely as the sets are similar."""
+def sketch(items: np.ndarray, slots: int = SLOTS) -> np.ndarray:
+    """``slots`` numbers; equal ones in the same place are as likely as the sets are similar."""
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    bins = np.full(SLOTS, full)
-    for i in range(2 * SLOTS):
+    bins = np.full(slots, full)
+    for i in range(2 * slots):
         h = mixed(items + np.uint64(i + 1) * _STEP)
-        where = (h >> np.uint64(32)) * np.uint64(SLOTS) >> np.uint64(32) if i < SLOTS else np.full(len(items), i - SLOTS, np.uint64)
+        where = (h >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32) if i < slots else np.full(len(items), i - slots, np.uint64)
         value = np.uint64(i) << np.uint64(48) | mixed(h) >> np.uint64(16)
         np.minimum.at(bins, where.astype(np.intp), value)
         if (bins != full).all():
@@ -109,6 +112,18 @@ def bands(items: np.ndarray) -> np.ndarray:
     return out
 
 
+def marks(items: np.ndarray) -> np.ndarray:
+    """A bit of each place of a sketch of ``MARKS`` places, packed into longs."""
+    bits = (mixed(sketch(items, MARKS)) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(bits).view(np.int64)
+
+
+def least_agreement(percent: int) -> int:
+    """Equal marks that a linked pair has, but for a chance of 3e-7: the mean less five deviations."""
+    equal = (1 + percent / 100) / 2
+    return int(MARKS * (equal - 5 * (equal * (1 - equal) / MARKS) ** 0.5))
+
+
 def print_of(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
@@ -220,7 +235,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     many = ids.select(F.col("node").alias("a"), F.col("doc_id").alias("b")).join(nodes.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b")
     links = written(links.unionByName(many), "links")
     labels = components(links)
-    rest = _rest(members, done, labels, percent)
+    rest = written(_rest(members, done, labels, nodes, docs, k, percent), "rest")
     if rest.limit(1).count():
         more = compared(rest, docs, k).where(linked)
         labels = components(links.unionByName(more.select(F.col("pivot").alias("a"), F.col("member").alias("b"))))
@@ -230,13 +245,22 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "lo", "hi")
 
 
-def _rest(members: DataFrame, done: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _marked(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    with np.errstate(over="ignore"):
+        for batch in batches:
+            out = [marks(shingles(t.as_py(), k)).tolist() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("member"), batch.column("mprint"), pa.array(out, pa.list_(pa.int64()))], ["member", "mprint", "marks"])
+
+
+def _rest(members: DataFrame, done: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs of a bucket's members that are not yet connected and may be linked.
 
     ``low`` and ``high`` bound a member's distance from the pivot: both are
     that distance where the pair was compared; a member whose size alone rules
     out a link has the least distance that its size allows, and one. At least
     one of a pair is not linked to the pivot: else they are connected already.
+    Of the pairs that these bounds leave, longer sketches rule out those that
+    are clearly less similar; a pair comes from the first bucket it shares only.
     """
     far = (100 - percent) / 100 + 1e-9
     known = done.select("pivot", "pprint", "member", (1 - F.col("both") / F.col("any")).alias("t"))
@@ -245,12 +269,26 @@ def _rest(members: DataFrame, done: DataFrame, labels: DataFrame, percent: int)
     m = m.select("key", "member", "mprint", "n", F.coalesce("t", by_size).alias("low"), F.coalesce("t", F.lit(1.0)).alias("high"))
     m = m.join(labels.withColumnRenamed("node", "member"), "member", "left").withColumn("label", F.coalesce("label", "member"))
     m = written(m.dropDuplicates(["key", "member", "mprint"]), "distances")
-    open_ = m.where(F.col("high") > far).select("key", *(F.col(c).alias(f"{c}2") for c in ("member", "mprint", "n", "low", "high", "label")))
+    # buckets in which a pair is open at all
+    busy = m.groupBy("key").agg(F.max("high").alias("top"), F.min("label").alias("a"), F.max("label").alias("b")).where((F.col("top") > far) & (F.col("a") != F.col("b")))
+    m = written(m.join(busy, "key", "left_semi"), "busy")
+    who = m.select("member", "mprint").distinct()
+    if who.count() <= FEW:
+        who = F.broadcast(who)
+    texts = docs.select(F.col("doc_id").cast("long").alias("member"), print_of(F.col("text")).alias("mprint"), "text").join(who, ["member", "mprint"])
+    more = texts.mapInArrow(lambda it: _marked(it, k), "member long, mprint long, marks array<long>").dropDuplicates(["member", "mprint"])
+    more = more.join(nodes.select(F.col("node").alias("member"), F.col("print").alias("mprint"), "bands"), ["member", "mprint"])
+    m = m.join(written(more, "marks"), ["member", "mprint"])
+    open_ = m.where(F.col("high") > far).select(F.col("key").alias("key2"), *(F.col(c).alias(f"{c}2") for c in ("member", "mprint", "n", "low", "high", "label", "marks", "bands")))
     apart = (F.col("label") != F.col("label2")) & ((F.col("high") <= far) | (F.col("member") < F.col("member2")))
-    near = (F.col("low") - F.col("high2") <= far) & (F.col("low2") - F.col("high") <= far)
-    pair = m.join(open_, "key").where(apart & near & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent))
+    near = (F.col("low") - F.col("high2") <= far) & (F.col("low2") - F.col("high") <= far) & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent)
+    unlike = F.lit(0)
+    for i in range(MARKS // 64):
+        unlike = unlike + F.bit_count(F.get("marks", F.lit(i)).bitwiseXOR(F.get("marks2", F.lit(i))))
+    alike = unlike <= MARKS - least_agreement(percent)
+    first = F.array_min(F.array_intersect("bands", "bands2")) == F.col("key")
     one, two = F.struct(F.col("member").alias("id"), F.col("mprint").alias("print")), F.struct(F.col("member2").alias("id"), F.col("mprint2").alias("print"))
-    pair = pair.select(F.least(one, two).alias("p"), F.greatest(one, two).alias("m"))
+    pair = m.join(open_, (F.col("key") == F.col("key2")) & apart & near & alike & first).select(F.least(one, two).alias("p"), F.greatest(one, two).alias("m"))
     return pair.select(F.col("p.id").alias("pivot"), F.col("p.print").alias("pprint"), F.col("m.id").alias("member"), F.col("m.print").alias("mprint")).distinct()
 
 
