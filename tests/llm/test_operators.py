@@ -336,6 +336,18 @@ def test_toxicity_without_labels_or_documents(spark):
     assert toxicity.scored(empty(docs), toxicity.trained(empty(docs), none)).count() == 0
 
 
+def test_shouting_is_measured_on_the_whole_text():
+    rng = random.Random(12)
+    for _ in range(50):
+        text = "".join(rng.choice("aB cÄß😀İ!") for _ in range(rng.randint(1, 3000)))
+        assert toxicity.shouted(text) == sum(map(str.isupper, text)) / len(text)
+    assert toxicity.shouted("") == 0
+    voters = toxicity.Voters([])
+    short, long, hidden = "HEY" * 20, "HEY" * 333, "aB" * 2000
+    assert [voters.look(t)[1][6] for t in (short, long, hidden)] == [1, 1, 0.5]
+    assert [voters.look(t)[0][-1] for t in (short, long, hidden)] == [toxicity.ABSTAIN] * 3 and voters.look("hey" * 20)[0][-1] == toxicity.CLEAN
+
+
 # -- licences
 
 

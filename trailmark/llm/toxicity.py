@@ -23,6 +23,7 @@ repeated rows score alike; extra columns play no part.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -51,6 +52,8 @@ THRESHOLD = 0.3
 KEPT_WORDS = 200_000
 #: Insults in common use.
 INSULTS = "idiot moron stupid loser clown trash scum pathetic worthless disgusting imbecile dumbass bastard asshole".split()
+_UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_BEYOND = re.compile(r"[^\x00-\x7F]")
 #: Votes.
 ABSTAIN, CLEAN, TOXIC = 0, 1, 2
 
@@ -130,6 +133,15 @@ def _once(labelled: DataFrame) -> DataFrame:
     return labelled.join(F.broadcast(kept), "doc_id")
 
 
+def shouted(text: str) -> float:
+    """Share of the characters of the whole text that are upper-case."""
+    data = text.encode()
+    upper = len(data) - len(data.translate(None, _UPPER))
+    if not text.isascii():
+        upper += sum(map(str.isupper, _BEYOND.findall(text)))
+    return upper / max(1, len(text))
+
+
 class _Hits(dict):
     """The term that a word is or begins with, -1 for none."""
 
@@ -167,7 +179,7 @@ class Voters:
                 each[self.voter[t]] += 1
                 found.add(t)
         total = sum(each)
-        shouts, bangs = sum(map(str.isupper, text[:: max(1, len(text) // 500)])) / 500, text.count("!") / n
+        shouts, bangs = shouted(text), text.count("!") / n
         votes = [TOXIC if e else ABSTAIN for e in each]
         votes += [TOXIC if total >= 2 and 200 * total >= n else CLEAN if not total else ABSTAIN]
         votes += [TOXIC if len(found) >= 2 else CLEAN if not found else ABSTAIN]
