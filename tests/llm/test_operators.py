@@ -151,6 +151,26 @@ def test_html_main_text():
     assert html.main_text("<article>" + "<div>" * 3000 + "deep." + "</div>" * 3000 + "</article>") == "deep."
 
 
+def test_html_class_words_are_finite_costs():
+    body = "<p>A first sentence of the story, as long as others are.</p><p>A second one that follows it.</p>"
+    text = "A first sentence of the story, as long as others are.\nA second one that follows it."
+    for around in ("layout has-sidebar", "page sidebar", "share", "header search"):
+        assert html.main_text(f'<div class="{around}"><article>{body}</article></div>') == text
+        assert html.main_text(f'<div class="{around}"><main>{body}</main></div>') == text
+    assert html.main_text(f'<article><header class="entry-header"><h1>Title</h1></header>{body}</article>') == "Title\n" + text
+    assert html.main_text(f'<body><div class="page sidebar">{body}</div><div class="ad">Buy.</div></body>') == text
+    assert html.main_text(f'<div class="content sidebar">{body}</div>') == text
+    assert html.main_text(f'<form id="aspnetForm"><main>{body}</main></form>') == text
+    essay = "Many words of a reader on the story. " * 40
+    assert essay.strip() in html.main_text(f'<article>{body}<div class="comments"><p>{essay}</p></div></article>')
+    # what is beside the text is still left out
+    for beside in ("sidebar", "ad", "share", "comments", "related"):
+        assert html.main_text(f'<article>{body}</article><div class="{beside}"><p>A short text beside it.</p></div>') == text
+        assert html.main_text(f'<article>{body}<div class="{beside}"><p>A short text in it.</p></div></article>') == text
+    for beside in ("<nav>", "<aside>", "<div hidden>", '<div id="comments">'):
+        assert html.main_text(f"<article>{body}</article>{beside}<article><p>A short text.</p></article>") == text
+
+
 def test_minimum_cut_is_minimal():
     rng = random.Random(5)
     for _ in range(40):

@@ -7,6 +7,12 @@ and blocks that are close in the DOM are joined by smoothness edges. The
 minimum cut of that graph, found by augmenting shortest paths, is the cheapest
 labelling; the blocks on the content side are the text.
 
+Words in class, id and role are finite costs. One that names a part of the layout
+costs the less, the more of the page's text its element holds, and an article or
+main element inside is free of it. One for other people's texts (comments, related
+pages) costs a fixed amount, which a long text without links outweighs. Names
+that say what a layout has or lacks, and names with a content word, don't count.
+
 Character references are decoded, white space inside a block becomes one blank,
 blocks are joined by line breaks. Defined cases: null and empty pages, and
 pages without content, give an empty string; tags left open are closed by
@@ -29,7 +35,9 @@ from pyspark.sql import functions as F
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-BOILER = frozenset("nav footer aside form button select option menu dialog head fieldset".split())
+BOILER = frozenset("nav footer aside button select option menu dialog head".split())
+#: Elements that can also wrap a whole page; they lean as a layout word does.
+WRAPPERS = frozenset("form fieldset".split())
 CONTENT = frozenset("article main".split())
 #: What a start tag closes: an open element of the same group, inside the nearest of the limits.
 CLOSES = {"p": ({"p"}, None), "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -39,47 +47,72 @@ BOILER_WORDS = frozenset(
     "foot header masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social "
     "comment comments disqus reply replies respond related recommended recommendations widget widgets pagination pager search complementary contentinfo copyright legal tags form".split()
 )
+#: Those of texts beside the page's own; the others name parts of the layout.
+BESIDE_WORDS = frozenset("comment comments disqus reply replies respond related recommended recommendations".split())
+#: A name with one of these says what a layout has, lacks or is filed under.
+MODIFIERS = frozenset("has with without no not is tag category".split())
 CONTENT_WORDS = frozenset("article content main post entry story body text maincontent articlebody".split())
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|$)|!\[CDATA\[.*?(?:\]\]>|$)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|$))", re.S)
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
+#: Leaning of an element: never content; beside the page's own text; part of the layout.
+NEVER, BESIDE, LAYOUT = -12.0, -5.0, -4.0
 _WORD = re.compile(r"[a-z]+")
 _END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 
 
 class Block:
-    __slots__ = ("path", "linked", "score", "text")
+    __slots__ = ("holder", "path", "linked", "score", "text")
+
+    def __init__(self, text: str, linked: int, path: tuple, score: float, holder: int):
+        self.text, self.linked, self.path, self.score, self.holder = text, linked, path, score, holder
+
 
-    def __init__(self, text: str, linked: int, path: tuple, score: float):
-        self.text, self.linked, self.path, self.score = text, linked, path, score
+def _named(value: str) -> tuple[float, float]:
+    """What the names in a class, id or role say for boilerplate and for content."""
+    low = high = 0.0
+    for name in value.strip("\"'").split():
+        parts = set(_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()))
+        if parts & CONTENT_WORDS:
+            high = high if parts & BOILER_WORDS else 3.0
+        elif parts & BOILER_WORDS and not parts & MODIFIERS:
+            low = min(low, BESIDE if parts & BESIDE_WORDS else LAYOUT)
+    return low, high
 
 
 def _leaning(tag: str, attrs: str, above: float, inside: bool) -> float:
     """What an element says of all it holds: below 0 boilerplate, above 0 content."""
     own = 0.0
     if tag in BOILER or tag == "header" and not inside:
-        own = -12.0
+        own = NEVER
     elif tag in CONTENT:
         own = 6.0
+    elif tag in WRAPPERS:
+        own = LAYOUT
     if attrs:
-        words: set[str] = set()
+        low = high = 0.0
         for m in _ATTR.finditer(attrs):
             name = m[1].lower()
             if name in ("class", "id", "role"):
-                words.update(_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", m[2] or "").lower()))
+                worst, best = _named(m[2] or "")
+                low, high = min(low, worst), max(high, best)
             elif name == "hidden" or name == "aria-hidden" and "true" in (m[2] or "") or name == "style" and re.search(r"display\s*:\s*none", m[2] or "", re.I):
-                own = min(own, -12.0)
-        if words & BOILER_WORDS and tag not in ("body", "html", "article", "main"):
-            own = min(own, -12.0)
-        elif words & CONTENT_WORDS:
-            own = max(own, 3.0)
+                own = NEVER
+        # names for content and for boilerplate on one element: the text decides
+        named = 0.0 if low < 0 < high else low or high
+        if named < 0 and tag not in ("body", "html", "article", "main"):
+            own = min(own, named)
+        elif named > 0 and own >= 0:
+            own = max(own, named)
+    if tag in CONTENT and own > 0 and above == LAYOUT:
+        return own  # the article of a layout
     # content inside boilerplate stays boilerplate, boilerplate inside content is boilerplate
     return min(own, above) if own < 0 or above < 0 else max(own, above)
 
 
 def blocks(html: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, float, int]] = []  # element, leaning, its number
+    stack: list[tuple[str, float, int, int]] = []  # element, leaning, its number, the number of what lays it out
     words: list[str] = []
     linked = number = links = inside = 0
 
@@ -87,12 +120,12 @@ def blocks(html: str) -> list[Block]:
         nonlocal words, linked
         text = " ".join("".join(words).split())
         if text:
-            out.append(Block(text, linked, tuple(e[2] for e in stack if e[0] not in INLINE), stack[-1][1] if stack else 0.0))
+            out.append(Block(text, linked, tuple(e[2] for e in stack if e[0] not in INLINE), *(stack[-1][1::2] if stack else (0.0, 0))))
         words, linked = [], 0
 
     def pop(to: int) -> None:
         nonlocal links, inside
-        for tag, _, _ in stack[to:]:
+        for tag, *_ in stack[to:]:
             links -= tag == "a"
             inside -= tag in CONTENT
         del stack[to:]
@@ -147,7 +180,10 @@ def blocks(html: str) -> list[Block]:
             continue
         number += 1
         above = stack[-1][1] if stack else 0.0
-        stack.append((tag, _leaning(tag, m[3], above, bool(inside)), number))
+        leans = _leaning(tag, m[3], above, bool(inside))
+        # the innermost element that says so by itself
+        holder = 0 if leans != LAYOUT else number if above != LAYOUT or _leaning(tag, m[3], 0.0, bool(inside)) == LAYOUT else stack[-1][3]
+        stack.append((tag, leans, number, holder))
         links += tag == "a"
         inside += tag in CONTENT
     add(html[at:])
@@ -160,11 +196,31 @@ def costs(b: Block) -> tuple[float, float]:
     n = len(b.text)
     for_content = b.score - 4.0 * min(1.0, b.linked / n)
     for_content += min(3.0, n / 80) - 0.5
+    # more than a long paragraph without links: others' texts may be the page's own
+    for_content += min(2.0, max(0, n - b.linked - 400) / 400)
     if b.text[-1] in ".!?…:;\"'”»":
         for_content += 0.5
     return (0.0, for_content) if for_content > 0 else (-for_content, 0.0)
 
 
+def relieve(found: list[Block]) -> None:
+    """A layout word costs the less, the larger the share of the page's unlinked text in its element."""
+    holders = {b.holder for b in found if b.holder}
+    if not holders:
+        return
+    held = dict.fromkeys(holders, 0)
+    total = 0
+    for b in found:
+        if b.score > NEVER:
+            free = len(b.text) - min(len(b.text), b.linked)
+            total += free
+            for e in holders.intersection((*b.path, b.holder)):
+                held[e] += free
+    for b in found:
+        if b.holder:
+            b.score *= 1 - held[b.holder] / max(1, total)
+
+
 def smoothness(a: Block, b: Block) -> float:
     """Cost of unlike labels of neighbours in page order; the more ancestors they share, the more."""
     same = sum(x == y for x, y in zip(a.path, b.path, strict=False))
@@ -218,6 +274,7 @@ def main_text(html: str | None) -> str:
     found = blocks(html or "")
     if not found:
         return ""
+    relieve(found)
     edges = [(i, i + 1, smoothness(a, b)) for i, (a, b) in enumerate(zip(found, found[1:], strict=False))]
     last: dict[int, int] = {}  # the block last seen directly in an element
     for i, b in enumerate(found):
