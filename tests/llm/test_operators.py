@@ -171,6 +171,11 @@ def test_html_class_words_are_finite_costs():
         assert html.main_text(f"<article>{body}</article>{beside}<article><p>A short text.</p></article>") == text
 
 
+def test_html_self_closed_and_formulas():
+    assert html.main_text('<article><p>Before <svg class="i"/>the icon.</p><p>After <math/>it all.</p><svg><title>no</title></svg></article>') == "Before the icon.\nAfter it all."
+    assert html.main_text("<article><p>Let <math><mi>x</mi><mo>&lt;</mo><mspace/><mn>1</mn></math> hold.</p><xmp><b>&amp;</b> as is</xmp><p>End.</p></article>") == "Let x<1 hold.\n<b>&amp;</b> as is\nEnd."
+
+
 def test_minimum_cut_is_minimal():
     rng = random.Random(5)
     for _ in range(40):

@@ -32,9 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Elements by their role.
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
+RAW = frozenset("script style textarea title iframe noembed noframes noscript template svg".split())
+#: Formulas: text in a line; these and svg can close themselves.
+FORMULA = frozenset("math maction annotation annotation-xml menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()) | FORMULA
 BOILER = frozenset("nav footer aside button select option menu dialog head".split())
 #: Elements that can also wrap a whole page; they lean as a layout word does.
 WRAPPERS = frozenset("form fieldset".split())
@@ -58,7 +60,7 @@ _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
 #: Leaning of an element: never content; beside the page's own text; part of the layout.
 NEVER, BESIDE, LAYOUT = -12.0, -5.0, -4.0
 _WORD = re.compile(r"[a-z]+")
-_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
+_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW | {"xmp"}}
 
 
 class Block:
@@ -157,6 +159,15 @@ def blocks(html: str) -> list[Block]:
         if tag == "br" or tag == "wbr" or tag == "img":
             add(" " if tag == "br" else "")
             continue
+        if (tag in FORMULA or tag == "svg") and m[3].rstrip().endswith("/"):
+            continue
+        if tag == "xmp":  # its text is as it stands, without tags and references
+            flush()
+            end = _END[tag].search(html, at)
+            words.append(html[at : end.start() if end else len(html)])
+            at = end.start() if end else len(html)
+            flush()
+            continue
         if tag in RAW:
             end = _END[tag].search(html, at)
             at = end.start() if end else len(html)
@@ -176,7 +187,7 @@ def blocks(html: str) -> list[Block]:
                         break
                     if limits and stack[i][0] in limits or not limits and stack[i][0] not in INLINE and stack[i][0] != "p":
                         break
-        if tag in VOID or m[3].rstrip().endswith("/") and tag in ("svg", "path"):
+        if tag in VOID:
             continue
         number += 1
         above = stack[-1][1] if stack else 0.0
