@@ -471,6 +471,16 @@ def test_url_models(spark):
     assert said[200] == "allow" and said[201] == "block"
 
 
+def test_url_models_see_whole_urls(spark):
+    rows = [(i, f"http://h.com/p?good={i}#fine") for i in range(20)] + [(100 + i, f"https://h.net/es/p?bad={i}#vile") for i in range(20)]
+    rows += [(200, "http://h.org/p?good=7#fine"), (201, "http://h.org/p?bad=7#vile"), (202, "//h/p?good=7#fine"), (203, "//h/p?bad=7#vile"), (204, "http://h.org/p?good=7#fine"), (205, None), (206, "")]
+    got = {r.page_id: r for r in urls.judged(spark.createDataFrame(rows, "page_id bigint, url string")).select("record.page_id", "rule", "score", "verdict").collect()}
+    assert len(got) == len(rows)
+    assert [got[i].verdict for i in (200, 201, 202, 203)] == ["allow", "block", "allow", "block"]
+    assert got[200].score > got[201].score and got[202].score > got[203].score
+    assert got[200].score == got[204].score and got[205].score == got[206].score and got[200].rule is None
+
+
 # -- decontamination
 
 

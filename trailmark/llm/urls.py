@@ -8,9 +8,10 @@ the difference of its log-likelihoods under both models, divided by its length,
 against a threshold that lies between the two training classes.
 
 Scores are summed in millionths as integers, so that no order of summation
-changes a verdict. Defined cases: a null url, or one without ``://``, has an
-empty host and path and no rule and is judged as an empty string; without
-training urls all scores are 0 and the threshold is 0, which allows; repeated
+changes a verdict. The models see whole urls, scheme, query and fragment
+included; the rules see host and path. Defined cases: a null url, or one
+without ``://``, has an empty host and path and no rule; a null url is judged
+as an empty string; without training urls all scores are 0 and the threshold is 0, which allows; repeated
 rows get equal verdicts. Equal urls are scored once, so a hot url costs one row.
 """
 
@@ -100,8 +101,8 @@ def judged(pages: DataFrame, rules=RULES, order: int = ORDER) -> DataFrame:
     host, path = host_and_path(F.col("record.url"))
     rows = rows.withColumns({"host": host, "path": path})
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": rule, "ruled": verdict, "said": F.concat("host", "path")})
-    # rows with equal host and path have the same rule
+    rows = rows.withColumns({"rule": rule, "ruled": verdict, "said": F.coalesce("record.url", F.lit(""))})
+    # equal urls have the same rule
     urls = written(rows.groupBy("said").agg(F.first("ruled").alias("verdict"), F.count("*").alias("n")), "urls")
     scores = written(gram_scores(urls, order), "scores")
     few = scores.count() <= BLOCK
