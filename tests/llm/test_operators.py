@@ -422,6 +422,21 @@ def test_licence_spans():
     assert auto.scan("redistribution and use in source") [2] == []
 
 
+def test_licence_notices_behind_their_own_words():
+    auto = licenses.Automaton()
+    for i, (label, notice) in enumerate(licenses.TEMPLATES):
+        w = notice.split()
+        for a in range(len(w) - 2):
+            for gap in (0, 1, licenses.GAP):
+                head = [*w[a : a + 3], *["foo"] * gap]
+                spans = [s for s in auto.scan(" ".join([*head, *w, "bar"]))[2] if s[0] == i]
+                assert [s[3] for s in spans] == [1.0] and spans[0][2] == len(head) + len(w), (label, a, gap)
+    for title, i in (("GNU General Public License", 4), ("Creative Commons Attribution", 14)):
+        assert (i, len(title.split()), len(title.split()) + len(licenses.TEMPLATES[i][1].split()), 1.0) in auto.scan(f"{title}\n{licenses.TEMPLATES[i][1]}.")[2]
+    twice = licenses.TEMPLATES[4][1] + ". " + licenses.TEMPLATES[4][1]
+    assert [s[1:] for s in auto.scan(twice)[2] if s[0] == 4] == [(0, 12, 1.0), (12, 24, 1.0)]
+
+
 # -- urls
 
 

@@ -4,7 +4,8 @@ All templates and base phrases, as word sequences, make one automaton. A
 text's words stream through it and give matching statistics: at each word the
 longest run ending there that occurs in some template. Runs that cannot grow
 and are long enough are placed in their templates and chained, forwards in text and
-template alike; a chain that covers enough of a template is a span and gives the
+template alike, each run where it covers most, on its own or behind any open chain;
+a chain that covers enough of a template is a span and gives the
 template's label. Base phrases are found in the same pass: a phrase ends at
 a word if the state reached, or one on its suffix links, is the phrase's.
 
@@ -15,6 +16,7 @@ scanned alike; extra columns play no part. Memory is the text and its words.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -166,29 +168,42 @@ class Automaton:
         return len(words), found, self.chains(runs)
 
     def chains(self, runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
-        """Runs come by their end; each extends its template's open chain or starts another."""
-        out, open_ = [], {}
+        """The best chains of each template that share no word of the text.
+
+        Runs come by their end, and their starts do not fall. A run at each of its places either starts
+        a chain or extends the one that makes it cover most; no chain is given up for being extended.
+        """
+        out = []
+        open_: dict[int, list[tuple[int, int, int, int]]] = {}  # start, end, place in the template, words covered
+        done: dict[int, list[tuple[int, int, int]]] = {}  # words covered, start, end
 
         def close(t: int) -> None:
-            start, end, _, covered = open_.pop(t)
-            share = covered / len(self.templates[t])
-            if share >= COVER:
-                out.append((t, start, end, share))
+            taken: list[tuple[int, int]] = []
+            for covered, start, end in sorted(done.pop(t, ()), key=lambda c: (-c[0], c[2] - c[1], c[1])):
+                i = bisect_left(taken, (start, end))
+                if (not i or taken[i - 1][1] <= start) and (i == len(taken) or end <= taken[i][0]):
+                    taken.insert(i, (start, end))
+                    out.append((t, start, end, covered / len(self.templates[t])))
 
         for state, end, n in runs:
-            for t in sorted({t for t, _ in self.places[state]}):
-                c = open_.get(t)
-                places = sorted(e for u, e in self.places[state] if u == t)
-                if c:
-                    later = [e for e in places if e > c[2]]
-                    # a run may overlap what the chain has, in text or template
-                    if later and end > c[1] and end - n - c[1] <= GAP:
-                        e = later[0]
-                        open_[t] = (c[0], end, e, c[3] + min(n, e - c[2], end - c[1]))
-                        continue
+            places: dict[int, list[int]] = {}
+            for t, e in self.places[state]:
+                places.setdefault(t, []).append(e)
+            for t, ends in places.items():
+                # runs to come start no earlier than this one
+                near = [c for c in open_.get(t, ()) if end - n - c[1] <= GAP]
+                if not near:
                     close(t)
-                open_[t] = (end - n, end, places[0], n)
-        for t in list(open_):
+                made = []
+                for e in ends:
+                    # a run may overlap what a chain has, in text or template
+                    more = [(c[3] + min(n, e - c[2], end - c[1]), c[0]) for c in near if e > c[2] and end > c[1]]
+                    covered, start = max([(n, end - n), *more])
+                    made.append((start, end, e, covered))
+                    if covered >= COVER * len(self.templates[t]):
+                        done.setdefault(t, []).append((covered, start, end))
+                open_[t] = near + made
+        for t in list(done):
             close(t)
         return sorted(out, key=lambda s: (s[1], s[2], s[0]))
 
