@@ -287,6 +287,18 @@ def test_near_duplicates(spark, odd):
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} >= {1, 2, 3, 6, None} and 7 not in {r.doc_id for r in kept.collect()}
 
 
+def test_one_row_of_each_group_is_kept(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(100))
+    near = text("a") + " more"
+    rows = [(5, text("a")), (5, text("a")), (7, near), (None, text("a")), (None, near), (None, text("a"))]
+    rows += [(None, text("b")), (None, text("b")), (None, text("b") + " x"), (8, text("c")), (8, text("d")), (8, text("d")), (9, ""), (9, ""), (10, ""), (None, text("e"))]
+    df = documents(spark, rows)
+    got = [(r.doc_id, (r.text or "")[:1]) for r in neardup.deduplicated(df).collect()]
+    assert sorted(got, key=str) == sorted([(5, "a"), (None, "b"), (8, next(t for i, t in got if i == 8)), (9, ""), (10, ""), (None, "e")], key=str)
+    alone = neardup.deduplicated(df.where("doc_id is null"))
+    assert alone.columns == df.columns and sorted(r.text[:1] for r in alone.collect()) == ["a", "b", "e"]
+
+
 def test_chains_and_hubs_lose_no_link(spark):
     """Groups in which neighbours are linked and the ends are not, and members on both sides of a pivot."""
     rng = random.Random(11)

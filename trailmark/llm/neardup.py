@@ -217,7 +217,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, lo and hi (hash of the set) of every row of ``docs``."""
+    """doc_id, n_shingles, component_id, kept, lo and hi (hash of the set) and print (hash of the text) of every row of ``docs``."""
     rows = written(sketches(docs, k), "sketches")
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "print"))).alias("first")
     sets = rows.where("n > 0").groupBy("lo", "hi").agg(first, F.first("n").alias("n"), F.first("bands").alias("bands"))
@@ -240,9 +240,9 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         more = compared(rest, docs, k).where(linked)
         labels = components(links.unionByName(more.select(F.col("pivot").alias("a"), F.col("member").alias("b"))))
     named = nodes.select("lo", "hi", "node").join(labels, "node", "left").select("lo", "hi", F.coalesce("label", "node").alias("component_id"))
-    out = rows.select("doc_id", "n", "lo", "hi").join(named, ["lo", "hi"], "left")
+    out = rows.select("doc_id", "print", "n", "lo", "hi").join(named, ["lo", "hi"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "lo", "hi")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "lo", "hi", "print")
 
 
 def _marked(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -292,8 +292,36 @@ def _rest(members: DataFrame, done: DataFrame, labels: DataFrame, nodes: DataFra
     return pair.select(F.col("p.id").alias("pivot"), F.col("p.print").alias("pprint"), F.col("m.id").alias("member"), F.col("m.print").alias("mprint")).distinct()
 
 
+def identified(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """``record`` (the row), ``doc_id`` and ``text`` of each row of ``docs``, and whether a doc_id is a known one.
+
+    Rows without an id get one of their text, in the wider room above or below the known ids.
+    """
+    id_ = F.col("record.doc_id").cast("long")
+    rows = docs.select(F.struct("*").alias("record"))
+    r = rows.agg(F.min(id_).alias("low"), F.max(id_).alias("high")).first()
+    low, high = (0, -1) if r.low is None else (r.low, r.high)
+    above, below = 2**63 - 1 - high, low + 2**63
+    room = max(1, min(2**63 - 1, max(above, below)))
+    offset = F.pmod(print_of(F.col("record.text")), F.lit(room))
+    own = offset + F.lit(high + 1) if above >= below else F.lit(low - 1) - offset
+    known = F.lit(False) if r.low is None else F.col("doc_id").between(low, high)
+    return rows.select("record", F.coalesce(id_, own).alias("doc_id"), F.col("record.text").alias("text")), known
+
+
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One row of ``docs`` for each group, that with the group's doc_id, with the columns of ``docs``."""
-    rows = groups(docs, k, percent).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.select(F.struct("*").alias("record"))
-    return kept.join(rows, F.col("record.doc_id").eqNullSafe(F.col("_id")), "left_semi").select("record.*")
+    """One row of ``docs`` for each group, with the columns of ``docs``.
+
+    It has the group's least known doc_id, if there is one. Rows without an
+    id are in the groups of their texts; those without words as well are copies if their texts are equal.
+    """
+    rows, known = identified(docs)
+    found = groups(rows.select("doc_id", "text"), k, percent)
+    # equal rows are counted first, so that a hot one is one row of each task
+    each = found.groupBy("component_id", (F.col("n_shingles") == 0).alias("blank"), (~known).alias("unknown"), "doc_id", "print").agg(F.count("*").alias("c"))
+    best = each.groupBy("component_id").agg(F.min(F.struct("blank", "unknown", "doc_id", "print", "c")).alias("top"))
+    best = written(best.select(F.col("top.doc_id").alias("doc_id"), F.col("top.print").alias("print"), F.col("top.c").alias("c")), "best")
+    rows = rows.select("record", "doc_id", print_of(F.col("text")).alias("print"))
+    single = rows.join(best.where("c = 1"), ["doc_id", "print"], "left_semi").select("record.*")
+    again = rows.join(best.where("c > 1"), ["doc_id", "print"], "left_semi").groupBy("doc_id", "print").agg(F.first("record").alias("record")).select("record.*")
+    return single.unionByName(again)
