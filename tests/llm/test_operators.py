@@ -242,6 +242,27 @@ def test_archives_over_many_blocks(spark):
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == archive_by_hand(rows)
 
 
+def test_archives_survive_other_splits(spark):
+    """Splits change between the scan that finds the records and the one that fetches their texts."""
+    fake = "WARC/1.1\r\nContent-Length: {n}\r\n\r\n{t}\r\n\r\n"
+    rng = random.Random(2)
+    whole = lambda t: fake.format(n=len(t), t=t)
+    rows = [(i, "".join(whole("x" * rng.randint(0, 400)) for _ in range(4)) + f"tail {i}") for i in range(400)]
+    path = warc.write_archive(spark.createDataFrame([(i, None, h) for i, h in rows], "page_id bigint, url string, html string").coalesce(2))
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    try:
+        for first, then in (("15000", "40000"), (before, "7000"), ("7000", before)):
+            spark.conf.set(key, first)
+            records = warc.read_archive(spark, path)
+            spark.conf.set(key, then)
+            got = records.collect()
+            assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == archive_by_hand(rows)
+            assert all(r.sound for r in got)
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_archive_query(spark, small):
     pages = [(r.page_id, r.html) for r in spark.read.parquet(f"{small}/pages.parquet").collect()]
     assert sorted((tuple(r) for r in queries.op4_warc(spark, small).collect()), key=str) == archive_by_hand(pages)

@@ -128,5 +128,14 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN n USING (r) LEFT JOIN it USING (r)"""
 
 
+_OP4 = """
+WITH p AS (SELECT page_id::BIGINT AS page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS least FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id > least THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id > least THEN least END AS refers_to
+FROM f"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _OP1, "op5_minhash": _OP5, "op9_decontamination": _OP9}
+    return {"op1_quality_rules": _OP1, "op4_warc": _OP4, "op5_minhash": _OP5, "op9_decontamination": _OP9}

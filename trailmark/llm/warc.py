@@ -7,7 +7,10 @@ are revisits without payload.
 
 Reading: Spark's text reader cuts the files at every occurrence of the magic
 line, wherever it is, many tasks to a file. Each piece is a candidate record with
-the offset at which the next must start. A payload may hold the magic line, so
+the offset at which the next must start. Offsets are worked out in one scan and
+written. A second scan, for the text of pieces that turn out to be parts of a payload,
+finds them by the SHA-256 of the piece, never by where a scan has cut the files: splits
+may differ from scan to scan. A payload may hold the magic line, so
 candidates need not be records; records are those that the chain from the start
 of the file reaches. The chain is followed by pointer jumping: inside a block
 (what one task has read of a file) each candidate's pointer jumps to the first
@@ -94,11 +97,19 @@ def _number(text: Column) -> Column:
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """What lies between magic lines: value, file, block, and ``at``, which grows within a block and is the same in each scan."""
+    """What lies between magic lines: value, file, block, and ``at``, which grows within a block.
+
+    The last two hold for one scan only, as they go with its splits.
+    """
     raw = spark.read.option("lineSep", MAGIC).text(path)
     return raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
 
 
+def _print(value: Column) -> Column:
+    """What a piece is found by again."""
+    return F.unhex(F.sha2(value, 256))
+
+
 def candidates(spark: SparkSession, path: str) -> DataFrame:
     """A row for each occurrence of the magic line: file, block, off, next, the header's
     values, digest of the payload if the piece is the whole record, else the piece itself."""
@@ -121,6 +132,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
         _head("WARC-Payload-Digest", "sha256:[0-9a-f]*").alias("said"),
         F.when(whole, F.sha2(payload, 256)).alias("digest"),
         F.when(whole, F.lit(None)).otherwise(F.col("value")).alias("piece"),
+        F.when(whole, _print(F.col("value"))).alias("print"),
         F.col("size"),
     )
     light = written(light, "candidates")
@@ -189,11 +201,13 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     # records cut by a magic line in their payload: put their pieces together again
     parts = spots.where("piece is not null").select("file", "off", "piece")
     # pieces that look like records but lie in another's payload: only now is their text needed
-    lost = spots.where("digest is not null").join(on_chain, ["file", "off"], "left_anti").select("file", "block", "at", "off")
-    n_lost = lost.count()
+    lost = spots.where("digest is not null").join(on_chain, ["file", "off"], "left_anti").select("file", "off", "print")
+    prints = lost.select("print").distinct()
+    n_lost = prints.count()
     if n_lost:
-        found = _pieces(spark, path).join(F.broadcast(lost) if n_lost <= FEW else lost, ["file", "block", "at"])
-        parts = parts.unionByName(found.select("file", "off", F.col("value").alias("piece")))
+        texts = _pieces(spark, path).select(_print(F.col("value")).alias("print"), F.col("value").alias("piece"))
+        texts = texts.join(F.broadcast(prints) if n_lost <= FEW else prints, "print", "left_semi").dropDuplicates(["print"])
+        parts = parts.unionByName(lost.join(texts, "print").select("file", "off", "piece"))
     pieces = parts.join(on_chain.withColumn("on", F.lit(True)), ["file", "off"], "left")
     to_here = W.partitionBy("file").orderBy("off").rowsBetween(W.unboundedPreceding, 0)
     pieces = pieces.withColumn("record", F.last(F.when(F.col("on"), F.col("off")), True).over(to_here))
