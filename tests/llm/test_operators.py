@@ -125,6 +125,30 @@ def test_shards_are_a_shuffle(spark, odd):
     assert len({r.shard for r in few}) == 3 and all(r.slot == 0 for r in few)
 
 
+def test_shards_follow_from_rows_and_seed_alone(spark, odd, monkeypatch):
+    """Whatever the partitions and the plan; a hot row scatters like any other."""
+    hot = spark.range(9000).select(F.lit(77).cast("long").alias("doc_id"), F.lit("hot").alias("text"))
+    docs = odd.select("doc_id", "text").unionByName(hot)
+    n, got = docs.count(), []
+    keys = ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        for values, parts, few in ((("true", "4", "10MB"), None, 1 << 20), (("false", "8", "-1"), 3, 1 << 20), (("true", "200", "-1"), 7, 1)):
+            for k, v in zip(keys, values, strict=True):
+                spark.conf.set(k, v)
+            monkeypatch.setattr(sharding, "FEW", few)
+            rows = sharding.shuffled(docs.repartition(parts) if parts else docs, bucket_bytes=20_000)
+            plan = rows._jdf.queryExecution().executedPlan().toString()
+            assert "hashpartitioning(bucket" not in plan and plan.count("Exchange shufflepartitionid") <= 2  # the records move once
+            got.append(sorted((r.shard, r.slot, str(r.record.doc_id), r.record.text or "") for r in rows.collect()))
+    finally:
+        for k, v in zip(keys, before, strict=True):
+            spark.conf.set(k, v)
+    assert len(got[0]) == n and got[0] == got[1] == got[2]
+    each = [sum(x[0] == i and x[2] == "77" for x in got[0]) for i in range(8)]
+    assert min(each) > 1000
+
+
 def test_shard_query(spark, small):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     rows = queries.op2_sharding(spark, small).collect()
