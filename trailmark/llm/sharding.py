@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trailmark.llm.shared import work_dir, written
@@ -62,7 +63,8 @@ def _keyed(docs: DataFrame, seed: int) -> DataFrame:
 def shuffled(docs: DataFrame, n_shards: int = 8, seed: int = 20_260, bucket_bytes: int = 16 << 20) -> DataFrame:
     """``record``, ``shard`` and ``slot`` of every row of ``docs`` (columns ``doc_id`` and ``text`` at least).
 
-    ``bucket_bytes`` is what one task shuffles at a time; it is to fit into a task's memory a few times over.
+    ``bucket_bytes`` is what one task shuffles at a time. Its records are sorted, which can spill; in memory is
+    the permutation, four bytes a record.
     """
     spark, rows = docs.sparkSession, _keyed(docs, seed)
     total = docs.agg(F.sum(text_bytes(F.col("text")))).first()[0] or 0
@@ -77,10 +79,9 @@ def shuffled(docs: DataFrame, n_shards: int = 8, seed: int = 20_260, bucket_byte
     numbers = spark.range(0, n_buckets, 1, math.ceil(n_buckets / DRAWN)).select(F.col("id").cast("int").alias("bucket"))
     drawn = numbers.join(F.broadcast(starts), "bucket").select("bucket", "start", F.shuffle(F.sequence(F.lit(0), F.col("n").cast("int") - 1), F.lit(seed)).alias("to"))
     drawn = written(drawn, "permutations")
-    dealt = rows.repartitionById(n_buckets, "bucket").groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("tie", "record"))).alias("records"))
-    dealt = dealt.join(F.broadcast(drawn) if n <= FEW else drawn.repartitionById(n_buckets, "bucket"), "bucket")  # dealt like the rows
-    put = F.transform("records", lambda r, i: F.struct(r.record.alias("record"), (F.col("start") + F.get(F.col("to"), i)).alias("place")))
-    place = dealt.select(F.explode(put).alias("p")).select("p.record", "p.place")
+    ranked = rows.repartitionById(n_buckets, "bucket").withColumn("at", F.row_number().over(W.partitionBy("bucket").orderBy("tie")) - 1)
+    drawn = F.broadcast(drawn) if n <= FEW else drawn.repartitionById(n_buckets, "bucket")  # dealt like the rows
+    place = ranked.join(drawn, "bucket").select("record", (F.col("start") + F.get("to", F.col("at"))).alias("place"))
     n = max(n, 1)
     shard = F.expr(f"((place + 1) * {n_shards} - 1) div {n}")
     return place.withColumn("shard", shard.cast("int")).select("record", "shard", F.expr(f"place - cast(shard AS bigint) * {n} div {n_shards}").alias("slot"))
