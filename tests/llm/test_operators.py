@@ -211,6 +211,54 @@ def test_minimum_cut_is_minimal():
         assert cost(html.content_side(unary, edges)) == pytest.approx(best)
 
 
+def test_html_articles_in_ordinary_layouts():
+    said = [f"This is paragraph {i} of the page, which goes on for more than a line and says something." for i in range(3)]
+    inner = "".join(f"<p>{p}</p>" for p in said)
+    for layout in ('<div class="content-with-sidebar">', '<div class="post with-sidebar">', '<div class="page header-small">', '<div class="share-price-story">', '<article><div class="post text tags">'):
+        assert html.main_text(f"<body>{layout}{inner}") == "\n".join(said), layout
+
+
+def test_html_labels_are_the_cheapest_of_all():
+    """Small random pages: the text is that of the cheapest of all labellings, and of equal ones of the fewest blocks."""
+    rng = random.Random(5)
+
+    def tree(depth):
+        tag = rng.choice(["div", "section", "article", "aside", "p", "ul", 'div class="sidebar"', 'div class="comments"', 'div class="post"'])
+        inner = "".join(tree(depth - 1) if depth and rng.random() < 0.6 else rng.choice(["words " * rng.randint(1, 30), f"<a href=x>{'link ' * rng.randint(1, 4)}</a>", "A sentence. "]) for _ in range(rng.randint(1, 3)))
+        return f"<{tag}>{inner}</{tag.split()[0]}>"
+
+    n_cut = 0
+    for _ in range(150):
+        page = tree(3)
+        found, unary, edges = html.graph(page)
+        if not 1 < len(found) <= 11:
+            continue
+        best = []
+        for bits in range(1 << len(found)):
+            cost = sum(u[0] if bits >> i & 1 else u[1] for i, u in enumerate(unary)) + sum(w for a, b, w in edges if (bits >> a ^ bits >> b) & 1)
+            best.append((round(cost, 6), bits.bit_count(), bits))
+        least = min(best)
+        assert html.main_text(page) == "\n".join(b.text for i, b in enumerate(found) if least[2] >> i & 1)
+        n_cut += least[2] != sum(1 << i for i, u in enumerate(unary) if u[0] < u[1])  # the edges decide something
+    assert n_cut > 3
+
+
+def test_html_long_and_deep_pages_take_linear_time():
+    import time
+
+    pages = [
+        "".join(f"<div class=sidebar><p>Side text {i} here</p></div><article><p>Article text number {i}, which goes on for a while.</p></article>" for i in range(10_000)),
+        "".join(f"<div><p>Text {i}.</p>" for i in range(20_000)),
+        "".join("<p>" + "word " * (7 + i % 4) + "<p><a href=x>w w</a> ab cde" for i in range(10_000)),
+        "<div>" * 20_000 + "</section>" * 20_000 + "A sentence that is long enough to be the page's own text, and so is kept.",
+    ]
+    for page in pages:
+        began = time.process_time()
+        text = html.main_text(page)
+        assert text.count("\n") < 20_000
+        assert time.process_time() - began < 2
+
+
 def test_html_query(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet")
     rows = queries.op3_html_extraction(spark, small).collect()

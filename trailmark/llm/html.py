@@ -4,8 +4,9 @@ A page is parsed into blocks of text. A small classifier gives each block the
 cost of calling it content and the cost of calling it boilerplate; these are
 the capacities of its edges to the two terminals. Neighbours in page order
 and blocks that are close in the DOM are joined by smoothness edges. The
-minimum cut of that graph, found by augmenting shortest paths, is the cheapest
-labelling; the blocks on the content side are the text.
+minimum cut of that graph is the cheapest labelling; the blocks on the content
+side are the text. Blocks whose terminal capacities outweigh all their edges are
+decided first; maximum flow by blocking flows over what is left finds the cut.
 
 Words in class, id and role are finite costs. One that names a part of the layout
 costs the less, the more of the page's text its element holds, and an article or
@@ -23,7 +24,7 @@ part. A page's graph is linear in its blocks.
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -59,15 +60,21 @@ _TAG = re.compile(r"<(?:!--.*?(?:-->|$)|!\[CDATA\[.*?(?:\]\]>|$)|[!?][^>]*>?|(/?
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
 #: Leaning of an element: never content; beside the page's own text; part of the layout.
 NEVER, BESIDE, LAYOUT = -12.0, -5.0, -4.0
+#: Less than this is no room.
+LEAST = 1e-9
 _WORD = re.compile(r"[a-z]+")
 _END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW | {"xmp"}}
 
 
 class Block:
-    __slots__ = ("holder", "path", "linked", "score", "text")
+    """``depth`` counts the block elements around it, ``common`` those it has in common with the block before;
+    ``parent`` is the second last of them, ``inner`` the innermost element of any kind."""
 
-    def __init__(self, text: str, linked: int, path: tuple, score: float, holder: int):
-        self.text, self.linked, self.path, self.score, self.holder = text, linked, path, score, holder
+    __slots__ = ("common", "depth", "holder", "inner", "linked", "parent", "score", "text")
+
+    def __init__(self, text: str, linked: int, score: float, holder: int, depth: int, common: int, parent: int, inner: int):
+        self.text, self.linked, self.score, self.holder = text, linked, score, holder
+        self.depth, self.common, self.parent, self.inner = depth, common, parent, inner
 
 
 def _named(value: str) -> tuple[float, float]:
@@ -112,25 +119,35 @@ def _leaning(tag: str, attrs: str, above: float, inside: bool) -> float:
     return min(own, above) if own < 0 or above < 0 else max(own, above)
 
 
-def blocks(html: str) -> list[Block]:
+def blocks(html: str) -> tuple[list[Block], list[int]]:
+    """The page's blocks, and of each element's number the number of the one around it."""
     out: list[Block] = []
     stack: list[tuple[str, float, int, int]] = []  # element, leaning, its number, the number of what lays it out
+    solid: list[int] = []  # numbers of those that are no inline elements
+    n_open: Counter[str] = Counter()
+    around = [0]
     words: list[str] = []
-    linked = number = links = inside = 0
+    linked = number = links = inside = low = 0
 
     def flush() -> None:
-        nonlocal words, linked
+        nonlocal words, linked, low
         text = " ".join("".join(words).split())
         if text:
-            out.append(Block(text, linked, tuple(e[2] for e in stack if e[0] not in INLINE), *(stack[-1][1::2] if stack else (0.0, 0))))
+            leans, holder = stack[-1][1::2] if stack else (0.0, 0)
+            out.append(Block(text, linked, leans, holder, len(solid), low, solid[-2] if len(solid) > 1 else 0, stack[-1][2] if stack else 0))
+            low = len(solid)
         words, linked = [], 0
 
     def pop(to: int) -> None:
-        nonlocal links, inside
+        nonlocal links, inside, low
         for tag, *_ in stack[to:]:
             links -= tag == "a"
             inside -= tag in CONTENT
+            n_open[tag] -= 1
+            if tag not in INLINE:
+                solid.pop()
         del stack[to:]
+        low = min(low, len(solid))
 
     def add(text: str) -> None:
         nonlocal linked
@@ -149,7 +166,7 @@ def blocks(html: str) -> list[Block]:
         if m[1]:
             if tag not in INLINE:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if n_open[tag] else ():
                 if stack[i][0] == tag:
                     pop(i)
                     break
@@ -181,7 +198,7 @@ def blocks(html: str) -> list[Block]:
             pop(i)
             if tag in CLOSES or tag in ("ul", "ol", "div", "section", "article", "table", "h1", "h2", "h3", "h4", "h5", "h6", "nav", "footer", "aside", "header", "main", "form", "blockquote", "pre", "dl"):
                 ends, limits = CLOSES.get(tag, ({"p"}, None))
-                for i in range(len(stack) - 1, -1, -1):
+                for i in range(len(stack) - 1, -1, -1) if any(map(n_open.__getitem__, ends)) else ():
                     if stack[i][0] in ends:
                         pop(i)
                         break
@@ -194,12 +211,16 @@ def blocks(html: str) -> list[Block]:
         leans = _leaning(tag, m[3], above, bool(inside))
         # the innermost element that says so by itself
         holder = 0 if leans != LAYOUT else number if above != LAYOUT or _leaning(tag, m[3], 0.0, bool(inside)) == LAYOUT else stack[-1][3]
+        around.append(stack[-1][2] if stack else 0)
         stack.append((tag, leans, number, holder))
+        n_open[tag] += 1
+        if tag not in INLINE:
+            solid.append(number)
         links += tag == "a"
         inside += tag in CONTENT
     add(html[at:])
     flush()
-    return out
+    return out, around
 
 
 def costs(b: Block) -> tuple[float, float]:
@@ -214,86 +235,119 @@ def costs(b: Block) -> tuple[float, float]:
     return (0.0, for_content) if for_content > 0 else (-for_content, 0.0)
 
 
-def relieve(found: list[Block]) -> None:
+def relieve(found: list[Block], around: list[int]) -> None:
     """A layout word costs the less, the larger the share of the page's unlinked text in its element."""
-    holders = {b.holder for b in found if b.holder}
-    if not holders:
+    if not any(b.holder for b in found):
         return
-    held = dict.fromkeys(holders, 0)
-    total = 0
+    held = [0] * len(around)
     for b in found:
         if b.score > NEVER:
-            free = len(b.text) - min(len(b.text), b.linked)
-            total += free
-            for e in holders.intersection((*b.path, b.holder)):
-                held[e] += free
+            held[b.inner] += len(b.text) - min(len(b.text), b.linked)
+    for e in range(len(around) - 1, 0, -1):  # an element's number is above that of the one around it
+        held[around[e]] += held[e]
     for b in found:
         if b.holder:
-            b.score *= 1 - held[b.holder] / max(1, total)
+            b.score *= 1 - held[b.holder] / max(1, held[0])
 
 
-def smoothness(a: Block, b: Block) -> float:
+def smoothness(b: Block, before: Block) -> float:
     """Cost of unlike labels of neighbours in page order; the more ancestors they share, the more."""
-    same = sum(x == y for x, y in zip(a.path, b.path, strict=False))
-    return 1.0 / (1 + len(a.path) + len(b.path) - 2 * same)
+    return 1.0 / (1 + before.depth + b.depth - 2 * b.common)
+
+
+def graph(html: str) -> tuple[list[Block], list[tuple[float, float]], list[tuple[int, int, float]]]:
+    """A page's blocks, their costs as content and as boilerplate, and the smoothness edges."""
+    found, around = blocks(html)
+    relieve(found, around)
+    edges = [(i, i + 1, smoothness(b, a)) for i, (a, b) in enumerate(zip(found, found[1:], strict=False))]
+    last: dict[int, int] = {}  # the block last seen directly in an element
+    for i, b in enumerate(found):
+        if last.get(b.parent, i - 1) != i - 1:
+            edges.append((last[b.parent], i, 0.5))
+        last[b.parent] = i
+    return found, [costs(b) for b in found], edges
 
 
 def content_side(unary: list[tuple[float, float]], edges: list[tuple[int, int, float]]) -> set[int]:
-    """Minimum cut: the nodes whose content label is cheapest (those the source still reaches)."""
-    n = len(unary)
+    """Minimum cut: the nodes whose content label is cheapest, and of equally cheap cuts the one with the fewest."""
+    pull = [as_boiler - as_content for as_content, as_boiler in unary]
+    near: list[list[tuple[int, float]]] = [[] for _ in unary]
+    for a, b, w in edges:
+        near[a].append((b, w))
+        near[b].append((a, w))
+    room = [sum(w for _, w in ws) for ws in near]
+    label: list[bool | None] = [None] * len(unary)
+    todo = list(range(len(unary)))
+    while todo:  # what outweighs all its edges is decided, and leans on its neighbours
+        i = todo.pop()
+        if label[i] is not None or -room[i] < pull[i] <= room[i] + LEAST:
+            continue
+        label[i] = pull[i] > 0
+        for j, w in near[i]:
+            if label[j] is None:
+                pull[j] += w if label[i] else -w
+                room[j] -= w
+                todo.append(j)
+    left = [i for i, x in enumerate(label) if x is None]
+    at = {i: k for k, i in enumerate(left)}
+    reached = _flow([pull[i] for i in left], [(at[a], at[b], w) for a, b, w in edges if a in at and b in at])
+    return {i for i, x in enumerate(label) if x} | {left[k] for k in reached}
+
+
+def _flow(pull: list[float], edges: list[tuple[int, int, float]]) -> list[int]:
+    """The nodes that the source still reaches when the flow is largest: blocking flows along shortest paths."""
+    n = len(pull)
     source, sink = n, n + 1
     to: list[int] = []
     room: list[float] = []
     out: list[list[int]] = [[] for _ in range(n + 2)]
-
-    def join(a: int, b: int, forth: float, back: float) -> None:
+    for a, b, forth, back in [(source, i, p, 0.0) if p > 0 else (i, sink, -p, 0.0) for i, p in enumerate(pull)] + [(a, b, w, w) for a, b, w in edges]:
         out[a].append(len(to))
         out[b].append(len(to) + 1)
-        to.extend((b, a))
-        room.extend((forth, back))
-
-    for i, (as_content, as_boiler) in enumerate(unary):
-        if as_boiler > 0:
-            join(source, i, as_boiler, 0.0)
-        if as_content > 0:
-            join(i, sink, as_content, 0.0)
-    for a, b, w in edges:
-        join(a, b, w, w)
+        to += (b, a)
+        room += (forth, back)
     while True:
-        came = [-1] * (n + 2)
-        came[source] = -2
-        queue = deque([source])
-        while queue and came[sink] == -1:
-            a = queue.popleft()
+        level = [-1] * (n + 2)
+        level[source] = 0
+        queue = [source]
+        for a in queue:
             for e in out[a]:
-                if room[e] > 1e-9 and came[to[e]] == -1:
-                    came[to[e]] = e
+                if room[e] > LEAST and level[to[e]] < 0:
+                    level[to[e]] = level[a] + 1
                     queue.append(to[e])
-        if came[sink] == -1:
-            return {i for i in range(n) if came[i] != -1}
-        flow, v = float("inf"), sink
-        while v != source:
-            flow, v = min(flow, room[came[v]]), to[came[v] ^ 1]
-        v = sink
-        while v != source:
-            room[came[v]] -= flow
-            room[came[v] ^ 1] += flow
-            v = to[came[v] ^ 1]
+        if level[sink] < 0:
+            return [i for i in queue if i < n]
+        tried = [0] * (n + 2)
+        path: list[int] = []
+        a = source
+        while True:
+            if a == sink:
+                flow = min(room[e] for e in path)
+                for k, e in enumerate(path):
+                    room[e] -= flow
+                    room[e ^ 1] += flow
+                k = next(k for k, e in enumerate(path) if room[e] <= LEAST)
+                a = to[path[k] ^ 1]
+                del path[k:]
+                continue
+            while tried[a] < len(out[a]):
+                e = out[a][tried[a]]
+                if room[e] > LEAST and level[to[e]] == level[a] + 1:
+                    break
+                tried[a] += 1
+            if tried[a] < len(out[a]):
+                path.append(e)
+                a = to[e]
+            elif a == source:
+                break
+            else:
+                a = to[path.pop() ^ 1]
+                tried[a] += 1
 
 
 def main_text(html: str | None) -> str:
-    found = blocks(html or "")
-    if not found:
-        return ""
-    relieve(found)
-    edges = [(i, i + 1, smoothness(a, b)) for i, (a, b) in enumerate(zip(found, found[1:], strict=False))]
-    last: dict[int, int] = {}  # the block last seen directly in an element
-    for i, b in enumerate(found):
-        parent = b.path[-2] if len(b.path) > 1 else 0
-        if last.get(parent, i - 1) != i - 1:
-            edges.append((last[parent], i, 0.5))
-        last[parent] = i
-    keep = content_side([costs(b) for b in found], edges)
+    found, unary, edges = graph(html or "")
+    keep = content_side(unary, edges)
     return "\n".join(b.text for i, b in enumerate(found) if i in keep)
 
 

@@ -6,16 +6,17 @@
   exclamation marks are voters too. Each votes toxic, clean, or abstains.
 * Label model. The votes of every document are counted by their combination.
   Expectation maximisation over these counts, with the labelled documents'
-  classes known, estimates how each voter votes in each class; the
-  correlations of voters within a class lower the weights of those that repeat
-  each other. The model turns any combination into a probability.
+  classes known, estimates how each voter votes in each class, given the vote of
+  the voter it is most correlated with there (a tree of dependencies). The
+  model's posterior turns any combination into a probability.
 * Classifier. A logistic regression learns these probabilities from a text's
   hits and shape, and scores every whole text.
 
 Labels come only from rows whose crc32(doc_id as text) mod 4 is not 2, and
 ``SAMPLE`` and ``TRAIN`` bound the rows for the terms and for the regression;
-the counts of votes cover all documents. Defined cases: a null text scores
-as an empty one; a null doc_id is not held out; labels that disagree for one
+the counts of votes cover all documents. Both samples go by hashes, so equal tables
+train equal models. Defined cases: a null text scores as an empty one; of a labelled
+id with several texts the terms are learned from one; a null doc_id is not held out; labels that disagree for one
 id count as toxic; without any toxic label the terms are the fixed list alone;
 repeated rows score alike; extra columns play no part.
 """
@@ -54,6 +55,8 @@ KEPT_WORDS = 200_000
 INSULTS = "idiot moron stupid loser clown trash scum pathetic worthless disgusting imbecile dumbass bastard asshole".split()
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BEYOND = re.compile(r"[^\x00-\x7F]")
+#: What smooths the label model's tables: so many cases of a vote, dealt out by its share.
+PRIOR_MASS = 3.0
 #: Votes.
 ABSTAIN, CLEAN, TOXIC = 0, 1, 2
 
@@ -200,8 +203,34 @@ def _votes(code: int) -> list[int]:
     return [code // 3**i % 3 for i in range(N_VOTERS)]
 
 
+def dependencies(joint: np.ndarray, mass: np.ndarray) -> list[int]:
+    """Each voter's parent in the tree of the strongest correlations within the classes, -1 for the root.
+
+    ``joint`` has the mass of each pair of votes (class, voter, voter, vote, vote).
+    """
+    n = joint.shape[1]
+    both = joint / joint.sum((3, 4), keepdims=True)
+    one, other = both.sum(4, keepdims=True), both.sum(3, keepdims=True)
+    tied = (both * np.log(both / (one * other))).sum((3, 4))  # mutual information in each class
+    tied = np.einsum("y,yjk->jk", mass / mass.sum(), tied)
+    parent, best = [-1] * n, tied[0].copy()
+    out = [False] + [True] * (n - 1)
+    come = [0] * n
+    for _ in range(n - 1):
+        j = max((k for k in range(n) if out[k]), key=lambda k: (best[k], -k))
+        out[j], parent[j] = False, come[j]
+        for k in range(n):
+            if out[k] and tied[j, k] > best[k]:
+                best[k], come[k] = tied[j, k], j
+    return parent
+
+
 def label_model(counts: dict[tuple[int, int], int]) -> dict[int, float]:
-    """P(toxic) of each combination of votes; counts by (combination, label or -1)."""
+    """P(toxic) of each combination of votes under the generative model; counts by (combination, label or -1).
+
+    A class draws its voters' votes along a tree: each vote depends on the class and on the vote of the
+    voter it goes with most, so that voters who repeat each other are not counted twice.
+    """
     codes = sorted({c for c, _ in counts})
     at = {c: i for i, c in enumerate(codes)}
     votes = np.array([_votes(c) for c in codes]).reshape(len(codes), N_VOTERS)
@@ -209,34 +238,37 @@ def label_model(counts: dict[tuple[int, int], int]) -> dict[int, float]:
     for (c, label), k in counts.items():
         n[at[c], label + 1] += k
     known = n[:, 1:].sum()
-    one_hot = np.stack([votes == v for v in range(3)], axis=2).astype(float)
-    # begin with a vote of confidence in the voters, and the labelled share of toxic texts
+    flat = np.stack([votes == v for v in range(3)], axis=2).astype(float).reshape(len(codes), 3 * N_VOTERS)
+    # all documents without a known class weigh as much as those with one, lest the few labels drown
+    weight = min(1.0, known / n[:, 0].sum()) if known and n[:, 0].sum() else 1.0
+    # begin with the labelled documents alone, without them with a vote of confidence in the voters
+    begin = n[:, 1].sum() > 0 and n[:, 2].sum() > 0
     p = np.clip((votes == TOXIC).sum(1) * 0.4 + 0.02, 0.02, 0.98)
-    weight = np.ones(N_VOTERS)
-    for _ in range(50):
-        mass = np.stack([n[:, 0] * (1 - p) + n[:, 1], n[:, 0] * p + n[:, 2]], axis=1)  # clean, toxic
+    parent: list[int] = []
+    for i in range(60):
+        unknown = n[:, 0] * (0 if begin and not i else weight)
+        mass = np.stack([unknown * (1 - p) + n[:, 1], unknown * p + n[:, 2]], axis=1)  # clean, toxic
         prior = (n[:, 2].sum() + 1) / (known + 2) if known else mass[:, 1].sum() / mass.sum()
-        table = np.einsum("cy,cjv->yjv", mass, one_hot) + 0.5
-        table /= table.sum(2, keepdims=True)
-        says = np.log(table[1]) - np.log(table[0])  # voter, vote
-        # correlation of voters within the classes
-        x = (votes == TOXIC).astype(float) - (votes == CLEAN)
-        rho = np.zeros((N_VOTERS, N_VOTERS))
-        for y in range(2):
-            m = mass[:, y] / max(mass[:, y].sum(), 1e-9)
-            d = x - m @ x
-            cov = (d * m[:, None]).T @ d
-            sd = np.sqrt(np.diag(cov)) + 1e-9
-            rho += np.clip(cov / np.outer(sd, sd), 0, 1) / 2
-        np.fill_diagonal(rho, 1)
-        weight = 1 / rho.sum(1)
-        logit = np.log(prior / (1 - prior)) + np.einsum("cjv,jv,j->c", one_hot, says, weight * N_VOTERS / weight.sum() / 2 + weight / 2)
+        joint = np.stack([(flat * mass[:, y, None]).T @ flat for y in range(2)]).reshape(2, N_VOTERS, 3, N_VOTERS, 3).transpose(0, 1, 3, 2, 4)
+        if i < 10:  # fixed from then on, so that the rest converges
+            parent = dependencies(joint + PRIOR_MASS / 9, mass.sum(0))
+        logit = np.full(len(codes), np.log(prior / (1 - prior)))
+        for j, k in enumerate(parent):
+            alone = joint[:, j, j].diagonal(axis1=1, axis2=2) + PRIOR_MASS / 3
+            alone = alone / alone.sum(1, keepdims=True)  # class, vote
+            if k < 0:
+                given = alone[:, :, None].repeat(3, 2)
+            else:  # few cases of the parent's vote lean on the vote's share in the class
+                pair = joint[:, j, k] + PRIOR_MASS * alone[:, :, None]
+                given = pair / pair.sum(1, keepdims=True)  # class, vote, parent's vote
+            says = np.log(given[1]) - np.log(given[0])
+            logit += says[votes[:, j], votes[:, max(k, 0)]]
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        if np.abs(new - p).max() < 1e-6:
-            break
+        done = np.abs(new - p).max() < 1e-6
         p = new
-    # combinations of which labels are known are trusted more, the more labels there are
-    return {c: float((p[i] * 5 + n[i, 2]) / (5 + n[i, 1] + n[i, 2])) for c, i in at.items()}
+        if done:
+            break
+    return {c: float(p[i]) for c, i in at.items()}
 
 
 def regression(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -270,7 +302,9 @@ def trained(docs: DataFrame, labels: DataFrame) -> Scorer:
     known = written(known, "labels")
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     texts = docs.select("doc_id", "text")
-    labelled = written(texts.join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic"), "labelled")
+    # an id's texts may be many
+    labelled = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    labelled = written(labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "t.text", "toxic"), "labelled")
     voters = Voters(learned_terms(_once(labelled)))
     shared = sc.broadcast(voters)  # TERMS terms at most
 
@@ -284,13 +318,13 @@ def trained(docs: DataFrame, labels: DataFrame) -> Scorer:
     n = docs.count()
     share = F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(max(1, n // TRAIN))) == 0
     rows = written(texts.select("doc_id", "text", share.alias("train")).mapInArrow(votes, "doc_id long, code long, inputs array<double>"), "votes")
-    rows = rows.join(known, "doc_id", "left").withColumn("label", F.coalesce("toxic", F.lit(-1)))
-    counted = {(r.code, r.label): r.n for r in rows.groupBy("code", "label").agg(F.count("*").alias("n")).collect()}  # 3 ** N_VOTERS combinations at most
+    each = rows.groupBy("doc_id", "code").agg(F.count("*").alias("n")).join(known, "doc_id", "left").withColumn("label", F.coalesce("toxic", F.lit(-1)))
+    counted = {(r.code, r.label): r.n for r in each.groupBy("code", "label").agg(F.sum("n").alias("n")).collect()}  # 3 ** N_VOTERS combinations at most
     if not counted:
         return Scorer(voters, np.zeros(8 + DEALT + 1))
     posterior = label_model(counted)
-    # at a share of one document in n // TRAIN there are some, but for tiny tables all
-    train = rows.where("inputs is not null").select("code", "inputs").limit(2 * TRAIN).collect()
+    # one document in n // TRAIN; the bound holds should an id with many rows be among them
+    train = rows.where("inputs is not null").orderBy(F.xxhash64(F.lit("train"), "doc_id"), "doc_id", "code", "inputs").select("code", "inputs").limit(2 * TRAIN).collect()
     return Scorer(voters, regression(np.array([r.inputs for r in train]), np.array([posterior[r.code] for r in train])))
 
 
