@@ -2,8 +2,9 @@
 
 All templates and base phrases, as word sequences, make one automaton. A
 text's words stream through it and give matching statistics: at each word the
-longest run ending there that occurs in some template. Runs that cannot grow
-and are long enough are placed in their templates and chained, forwards in text and
+longest run ending there that occurs in some template, and by suffix links the
+longest of every other template. Runs that cannot grow in their own template
+and are long enough are placed in it and chained, forwards in text and
 template alike, each run where it covers most, on its own or behind any open chain;
 a chain that covers enough of a template is a span and gives the
 template's label. Base phrases are found in the same pass: a phrase ends at
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 #: Phrases whose every place counts.
 PHRASES = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
-#: Labels and notices that licences ask for.
+#: Labels, and notices that licences ask for or whole licences.
 TEMPLATES = (
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
@@ -46,6 +47,31 @@ TEMPLATES = (
     ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
     ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain"),
 )
+_WHOLE = {
+    "mit": """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
+    the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute
+    sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following
+    conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the
+    software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability
+    fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or
+    other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other
+    dealings in the software""",
+    "isc": """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the
+    above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties
+    with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any
+    special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of
+    contract negligence or other tortious action arising out of or in connection with the use or performance of this software""",
+    "bsd": """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions
+    are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2
+    redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the
+    documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors as is
+    and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular
+    purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary
+    or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business
+    interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise
+    arising in any way out of the use of this software even if advised of the possibility of such damage""",
+}
+TEMPLATES += tuple((label, " ".join(text.split())) for label, text in _WHOLE.items())
 #: A run of so many words can start or carry on a chain.
 LEAST_RUN = 3
 #: A chain bridges so many foreign words of a text.
@@ -82,6 +108,16 @@ class Automaton:
         self.phrases = [self._add(text, None) for _, text in phrases]
         for state in sorted(range(1, len(self.next)), key=self.length.__getitem__, reverse=True):
             self.places[self.link[state]] |= self.places[state]
+        # of each state and template: length of its longest run that ends there (0: all that is matched), and the run's places
+        self.runs: list[dict[int, tuple[int, tuple[int, ...]]]] = [{} for _ in self.next]
+        for state in sorted(range(1, len(self.next)), key=self.length.__getitem__):
+            above = self.link[state]
+            if self.length[above] >= LEAST_RUN:
+                self.runs[state] = {t: (n or self.length[above], ends) for t, (n, ends) in self.runs[above].items()}
+            by: dict[int, list[int]] = {}
+            for t, e in sorted(self.places[state]):
+                by.setdefault(t, []).append(e)
+            self.runs[state] |= {t: (0, tuple(ends)) for t, ends in by.items()}
         ends: dict[int, list[int]] = {}
         for i, phrase in enumerate(self.phrases):
             state = 0
@@ -151,26 +187,27 @@ class Automaton:
         ids = np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words))
         known = np.flatnonzero(np.diff(np.concatenate(([0], (ids >= 0).view(np.int8), [0]))))
         found: list[tuple[int, int]] = []
-        runs: list[tuple[int, int, int]] = []  # state, end in the text, length
+        runs: list[tuple[int, tuple[int, ...], int, int]] = []  # template, places, end in the text, length
         for start, end in zip(known[::2].tolist(), known[1::2].tolist(), strict=True):
             if end - start < LEAST_RUN:
                 continue
-            before = (0, 0)
+            before: dict[int, tuple[int, tuple[int, ...]]] = {}
             for i, (state, n) in enumerate(self.statistics(ids[start:end].tolist()), start):
-                if n <= before[1] and before[1] >= LEAST_RUN:
-                    runs.append((before[0], i, before[1]))
                 for p in self.ends[state]:
                     if n >= len(self.phrases[p]):
                         found.append((p, i + 1 - len(self.phrases[p])))
-                before = (state, n)
-            if before[1] >= LEAST_RUN:
-                runs.append((before[0], end, before[1]))
+                now = {t: (k or n, ends) for t, (k, ends) in self.runs[state].items()} if n >= LEAST_RUN else {}
+                for t, (k, ends) in before.items():
+                    if t not in now or now[t][0] <= k:
+                        runs.append((t, ends, i, k))
+                before = now
+            runs += [(t, ends, end, k) for t, (k, ends) in before.items()]
         return len(words), found, self.chains(runs)
 
-    def chains(self, runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
+    def chains(self, runs: list[tuple[int, tuple[int, ...], int, int]]) -> list[tuple[int, int, int, float]]:
         """The best chains of each template that share no word of the text.
 
-        Runs come by their end, and their starts do not fall. A run at each of its places either starts
+        A template's runs come by their end, and their starts do not fall. A run at each of its places either starts
         a chain or extends the one that makes it cover most; no chain is given up for being extended.
         """
         out = []
@@ -185,27 +222,34 @@ class Automaton:
                     taken.insert(i, (start, end))
                     out.append((t, start, end, covered / len(self.templates[t])))
 
-        for state, end, n in runs:
-            places: dict[int, list[int]] = {}
-            for t, e in self.places[state]:
-                places.setdefault(t, []).append(e)
-            for t, ends in places.items():
-                # runs to come start no earlier than this one
-                near = [c for c in open_.get(t, ()) if end - n - c[1] <= GAP]
-                if not near:
-                    close(t)
-                made = []
-                for e in ends:
-                    # a run may overlap what a chain has, in text or template
-                    more = [(c[3] + min(n, e - c[2], end - c[1]), c[0]) for c in near if e > c[2] and end > c[1]]
-                    covered, start = max([(n, end - n), *more])
-                    made.append((start, end, e, covered))
-                    if covered >= COVER * len(self.templates[t]):
-                        done.setdefault(t, []).append((covered, start, end))
-                open_[t] = near + made
+        for t, ends, end, n in runs:
+            # runs to come start no earlier than this one
+            near = [c for c in open_.get(t, ()) if end - n - c[1] <= GAP]
+            if not near:
+                close(t)
+            made = []
+            for e in ends:
+                # a run may overlap what a chain has, in text or template
+                more = [(c[3] + min(n, e - c[2], end - c[1]), c[0]) for c in near if e > c[2] and end > c[1]]
+                covered, start = max([(n, end - n), *more])
+                made.append((start, end, e, covered))
+                if covered >= COVER * len(self.templates[t]):
+                    done.setdefault(t, []).append((covered, start, end))
+            open_[t] = near + made
         for t in list(done):
             close(t)
-        return sorted(out, key=lambda s: (s[1], s[2], s[0]))
+        return sorted(self._own(out), key=lambda s: (s[1], s[2], s[0]))
+
+    def _own(self, spans: list[tuple[int, int, int, float]]) -> Iterator[tuple[int, int, int, float]]:
+        """Without the incomplete spans inside a span of another label that covers more words, or as many of a shorter template."""
+        around: list[tuple[int, int, int, float]] = []
+        worth = lambda s: (round(s[3] * len(self.templates[s[0]])), s[3])
+        for span in sorted(spans, key=lambda s: (s[1], -s[2], *(-w for w in worth(s)), s[0])):
+            t, start, end, share = span
+            around = [s for s in around if s[2] > start]  # one of each template at most
+            if share >= 1 or not any(s[2] >= end and worth(s) > worth(span) and self.labels[s[0]] != self.labels[t] for s in around):
+                yield span
+            around.append(span)
 
 
 def scanned(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES) -> DataFrame:
