@@ -137,5 +137,42 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AN
 FROM f"""
 
 
+def _op8() -> str:
+    """The rules, then both models order by order, the sum over each url, and the threshold."""
+    fits = lambda h, p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))"
+    ranked = sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))
+    rule = " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in ranked)
+    says = " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for v, h, p in ranked)
+    order, out = urls.ORDER, f"kept % {urls.FOLDS} = 0"
+    parts = [
+        f"""c{order} AS (SELECT g, sum(CASE WHEN ruled = 'allow' AND NOT ({out}) THEN n ELSE 0 END)::BIGINT AS a, sum(CASE WHEN ruled = 'block' AND NOT ({out}) THEN n ELSE 0 END)::BIGINT AS b FROM grams GROUP BY g)"""
+    ]
+    for k in range(order - 1, -1, -1):
+        parts.append(f"c{k} AS (SELECT substr(g, 2) AS g, sum(a)::BIGINT AS a, sum(b)::BIGINT AS b FROM c{k + 1} GROUP BY 1)")
+    share = lambda c: f"CASE WHEN n{c} + t{c} > 0 THEN (x.{c} + t{c} * l{c}) / (n{c} + t{c}) ELSE l{c} END"
+    for k in range(order + 1):
+        lower = f"JOIN (SELECT g AS s, pa AS la, pb AS lb FROM p{k - 1}) ON s = substr(x.g, 2)" if k else f"CROSS JOIN (SELECT {urls.FLOOR}::DOUBLE AS la, {urls.FLOOR}::DOUBLE AS lb)"
+        parts.append(f"""h{k} AS (SELECT substr(g, 1, {k}) AS h, sum(a) AS na, sum(b) AS nb, count(*) FILTER (a > 0) AS ta, count(*) FILTER (b > 0) AS tb FROM c{k} GROUP BY 1),
+p{k} AS (SELECT x.g, {share("a")} AS pa, {share("b")} AS pb FROM c{k} x JOIN h{k} ON h = substr(x.g, 1, {k}) {lower})""")
+    between = "(ma * sb + mb * sa) / (sa + sb)"
+    side = lambda v: f"(SELECT m FROM f WHERE ruled = '{v}') AS m{v[0]}, (SELECT sd FROM f WHERE ruled = '{v}') AS s{v[0]}"
+    chars = " || ".join(["chr(2)"] * order)
+    return f"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS said FROM pages),
+v AS (SELECT *, translate(regexp_extract(said, '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(said, '://([^/?#]*)([^?#]*)', 2) AS path FROM u),
+r AS (SELECT *, CASE {rule} END AS rule, CASE {says} END AS ruled FROM v),
+d AS (SELECT said, any_value(ruled) AS ruled, count(*) AS n, ('0x' || substr(md5(said), 1, 4))::INT AS kept FROM r GROUP BY said),
+grams AS (SELECT d.*, substr({chars} || said || chr(3), i::INT, {order + 1}) AS g FROM d, unnest(generate_series(1, length(said) + 1)) AS t(i)),
+{", ".join(parts)},
+s AS (SELECT g, CAST(round(1e6::DOUBLE * (ln(pa) - ln(pb))) AS BIGINT) AS score FROM p{order}),
+z AS (SELECT said, any_value(ruled) AS ruled, any_value(n) AS n, any_value({out}) AS out, CAST(trunc(sum(score)::DOUBLE / count(*)) AS BIGINT) AS score FROM grams JOIN s USING (g) GROUP BY said),
+e AS (SELECT ruled, out, sum(score::HUGEINT * n)::DOUBLE / sum(n) AS m, sum(score::HUGEINT * score * n)::DOUBLE / sum(n) AS q FROM z WHERE ruled IS NOT NULL GROUP BY ALL),
+f AS (SELECT ruled, m, sqrt(greatest(q - m * m, 1e-9::DOUBLE)) AS sd FROM e WHERE out OR ruled NOT IN (SELECT ruled FROM e WHERE out)),
+bound AS (SELECT CASE WHEN ma IS NULL OR mb IS NULL THEN 0 ELSE floor({between} + 0.5::DOUBLE)::BIGINT END AS b FROM (SELECT {side("allow")}, {side("block")}))
+SELECT page_id, host, path, rule, score, coalesce(r.ruled, CASE WHEN score >= b THEN 'allow' ELSE 'block' END) AS verdict
+FROM r JOIN z USING (said) CROSS JOIN bound"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _OP1, "op4_warc": _OP4, "op5_minhash": _OP5, "op9_decontamination": _OP9}
+    return {"op1_quality_rules": _OP1, "op4_warc": _OP4, "op8_url_filter": _op8(), "op5_minhash": _OP5, "op9_decontamination": _OP9}

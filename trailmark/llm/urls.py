@@ -5,7 +5,9 @@ accepted urls, the blocked ones that of rejected urls: characters after up to
 ``order`` others, each order smoothed into the next shorter one by the number
 of its distinct successors (Witten-Bell). A url without a rule is judged by
 the difference of its log-likelihoods under both models, divided by its length,
-against a threshold that lies between the two training classes.
+against a threshold that lies between the two classes. One in ``FOLDS`` urls with a
+rule, chosen by a digest of the url, trains no model and calibrates the threshold; a
+class that has none calibrates on its training urls.
 
 Scores are summed in millionths as integers, so that no order of summation
 changes a verdict. The models see whole urls, scheme, query and fragment
@@ -17,6 +19,8 @@ rows get equal verdicts. Equal urls are scored once, so a hot url costs one row.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +40,11 @@ ORDER = 4
 START, STOP = "\u0002", "\u0003"
 #: The shortest model gives each character at least this share.
 FLOOR = 1 / 1024
-#: Grams whose scores are broadcast; more are joined by shuffle.
+#: Grams whose scores are broadcast; more are joined by shuffle. The other joins leave the choice to
+#: Spark, which broadcasts a side only if its measured size is below spark.sql.autoBroadcastJoinThreshold.
 BLOCK = 300_000
+#: One in so many urls is kept out of training.
+FOLDS = 5
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -95,6 +102,11 @@ def gram_scores(urls: DataFrame, order: int = ORDER) -> DataFrame:
     return lower.select("g", F.round(F.lit(1e6) * (F.log("pa") - F.log("pb"))).cast("bigint").alias("score"))
 
 
+def kept_out(said: Column) -> Column:
+    """Whether a url calibrates: by the first 16 bits of its MD5."""
+    return F.conv(F.left(F.md5(said), F.lit(4)), 16, 10).cast("int") % FOLDS == 0
+
+
 def judged(pages: DataFrame, rules=RULES, order: int = ORDER) -> DataFrame:
     """``record``, host, path, rule, ``score`` (millionths a character) and ``verdict`` of each row of ``pages``."""
     rows = pages.select(F.struct("*").alias("record"))
@@ -104,15 +116,19 @@ def judged(pages: DataFrame, rules=RULES, order: int = ORDER) -> DataFrame:
     rows = rows.withColumns({"rule": rule, "ruled": verdict, "said": F.coalesce("record.url", F.lit(""))})
     # equal urls have the same rule
     urls = written(rows.groupBy("said").agg(F.first("ruled").alias("verdict"), F.count("*").alias("n")), "urls")
-    scores = written(gram_scores(urls, order), "scores")
+    training = urls.withColumn("verdict", F.when(~kept_out(F.col("said")), F.col("verdict")))
+    scores = written(gram_scores(training, order), "scores")
     few = scores.count() <= BLOCK
     grams = _grams(urls, order).join(F.broadcast(scores) if few else scores, "g")
     scored = grams.groupBy("said", "verdict", "n").agg(F.expr("sum(score) div count(*)").alias("score"))
     scored = written(scored, "scored")
     x, n = F.col("score").cast("decimal(38,0)"), F.col("n")
-    stats = scored.where("verdict is not null").groupBy("verdict").agg(F.sum(n).alias("n"), F.sum(x * n).alias("s"), F.sum(x * x * n).alias("q")).collect()  # two rows
-    at = {r.verdict: (float(r.s) / r.n, max(float(r.q) / r.n - (float(r.s) / r.n) ** 2, 1e-9) ** 0.5) for r in stats}
+    stats = scored.where("verdict is not null").groupBy("verdict", kept_out(F.col("said")).alias("out")).agg(F.sum(n).alias("n"), F.sum(x * n).alias("s"), F.sum(x * x * n).alias("q")).collect()  # four rows
+    at = {}
+    for r in sorted(stats, key=lambda r: r.out):  # those kept out, if there are any
+        mean = float(r.s) / r.n
+        at[r.verdict] = mean, max(float(r.q) / r.n - mean * mean, 1e-9) ** 0.5
     (ma, sa), (mb, sb) = at.get("allow", (0.0, 1.0)), at.get("block", (0.0, 1.0))
-    bound = round((ma * sb + mb * sa) / (sa + sb)) if len(at) == 2 else 0
+    bound = math.floor((ma * sb + mb * sa) / (sa + sb) + 0.5) if len(at) == 2 else 0
     model = F.when(F.col("score") >= bound, "allow").otherwise("block")
     return rows.join(scored.select("said", "score"), "said").select("record", "host", "path", "rule", "score", F.coalesce("ruled", model).alias("verdict"))
