@@ -47,7 +47,7 @@ SLOTS, BANDS, ROWS = 96, 24, 4
 MARKS = 2048
 #: Nodes to verify that are broadcast to the scan of the texts; more are joined by shuffle.
 FEW = 200_000
-#: Members that one pivot's copy of its set serves.
+#: Members that one pivot's copy of its set serves, and those of a bucket's part.
 CHUNK = 256
 #: Word hashes that a Python worker keeps.
 KEPT_WORDS = 200_000
@@ -269,9 +269,10 @@ def _rest(members: DataFrame, done: DataFrame, labels: DataFrame, nodes: DataFra
     m = m.select("key", "member", "mprint", "n", F.coalesce("t", by_size).alias("low"), F.coalesce("t", F.lit(1.0)).alias("high"))
     m = m.join(labels.withColumnRenamed("node", "member"), "member", "left").withColumn("label", F.coalesce("label", "member"))
     m = written(m.dropDuplicates(["key", "member", "mprint"]), "distances")
-    # buckets in which a pair is open at all
-    busy = m.groupBy("key").agg(F.max("high").alias("top"), F.min("label").alias("a"), F.max("label").alias("b")).where((F.col("top") > far) & (F.col("a") != F.col("b")))
-    m = written(m.join(busy, "key", "left_semi"), "busy")
+    # buckets in which a pair is open at all; a large one is cut into parts, each of which meets its open members
+    busy = m.groupBy("key").agg(F.max("high").alias("top"), F.min("label").alias("a"), F.max("label").alias("b"), F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
+    busy = busy.where((F.col("top") > far) & (F.col("a") != F.col("b"))).select("key", "parts")
+    m = written(m.join(busy, "key"), "busy")
     who = m.select("member", "mprint").distinct()
     if who.count() <= FEW:
         who = F.broadcast(who)
@@ -279,7 +280,9 @@ def _rest(members: DataFrame, done: DataFrame, labels: DataFrame, nodes: DataFra
     more = texts.mapInArrow(lambda it: _marked(it, k), "member long, mprint long, marks array<long>").dropDuplicates(["member", "mprint"])
     more = more.join(nodes.select(F.col("node").alias("member"), F.col("print").alias("mprint"), "bands"), ["member", "mprint"])
     m = m.join(written(more, "marks"), ["member", "mprint"])
-    open_ = m.where(F.col("high") > far).select(F.col("key").alias("key2"), *(F.col(c).alias(f"{c}2") for c in ("member", "mprint", "n", "low", "high", "label", "marks", "bands")))
+    part = F.pmod(F.xxhash64("member"), F.col("parts")).cast("int")
+    open_ = m.where(F.col("high") > far).withColumn("part2", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    open_ = open_.select(F.col("key").alias("key2"), "part2", *(F.col(c).alias(f"{c}2") for c in ("member", "mprint", "n", "low", "high", "label", "marks", "bands")))
     apart = (F.col("label") != F.col("label2")) & ((F.col("high") <= far) | (F.col("member") < F.col("member2")))
     near = (F.col("low") - F.col("high2") <= far) & (F.col("low2") - F.col("high") <= far) & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent)
     unlike = F.lit(0)
@@ -288,7 +291,7 @@ def _rest(members: DataFrame, done: DataFrame, labels: DataFrame, nodes: DataFra
     alike = unlike <= MARKS - least_agreement(percent)
     first = F.array_min(F.array_intersect("bands", "bands2")) == F.col("key")
     one, two = F.struct(F.col("member").alias("id"), F.col("mprint").alias("print")), F.struct(F.col("member2").alias("id"), F.col("mprint2").alias("print"))
-    pair = m.join(open_, (F.col("key") == F.col("key2")) & apart & near & alike & first).select(F.least(one, two).alias("p"), F.greatest(one, two).alias("m"))
+    pair = m.withColumn("part", part).join(open_, (F.col("key") == F.col("key2")) & (F.col("part") == F.col("part2")) & apart & near & alike & first).select(F.least(one, two).alias("p"), F.greatest(one, two).alias("m"))
     return pair.select(F.col("p.id").alias("pivot"), F.col("p.print").alias("pprint"), F.col("m.id").alias("member"), F.col("m.print").alias("mprint")).distinct()
 
 

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from trailmark.llm.text import blank_words
 
+#: The bits of a window's hash that are used: all.
+HASHED = -1
 SYMBOLS = "[#*$%&|<>]"
 #: Rules in order of their bit: name and the condition for failure, in integers.
 RULES = (
@@ -47,24 +49,39 @@ def _repeat_words(words: Column, n: Column) -> dict[str, Column]:
     A window becomes one long: high bits of its hash, low bits its position.
     Sorting the longs brings equal windows together; the positions kept are
     those with an equal neighbour, and each covers three words, fewer where it
-    runs into the next.
+    runs into the next. Neighbours of equal hashes are compared word by word; in the
+    rare text where they differ, the windows themselves are sorted instead.
     """
     low = F.expr("shiftleft(1L, length(bin(n_words))) - 1")
 
     def window(i: Column) -> Column:
         h = F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+        h = h if HASHED == -1 else h.bitwiseAND(F.lit(HASHED))
         return h.bitwiseAND(F.bitwise_not(F.col("_low"))).bitwiseOR(i.cast("bigint"))
 
-    def near(x: Column, k: Column) -> Column:
-        same = x.bitwiseXOR(F.get(F.col("_sorted"), k)).bitwiseAND(F.bitwise_not(F.col("_low"))) == 0
+    def near(x: Column, other: Column) -> Column:
+        same = x.bitwiseXOR(other).bitwiseAND(F.bitwise_not(F.col("_low"))) == 0
         return F.coalesce(same, F.lit(False))
 
+    def place(x: Column) -> Column:
+        return x.bitwiseAND(F.col("_low"))
+
+    def unlike(x: Column, other: Column) -> Column:
+        i, j = place(x).cast("int"), place(other).cast("int")
+        return (F.get(words, i) != F.get(words, j)) | (F.get(words, i + 1) != F.get(words, j + 1)) | (F.get(words, i + 2) != F.get(words, j + 2))
+
     windows = F.when(n >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), n.cast("int") - 3), window)))
-    twice = F.filter(F.col("_sorted"), lambda x, k: near(x, k - 1) | near(x, k + 1))
-    starts = F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(F.col("_low"))))
+    at = lambda k: F.get(F.col("_sorted"), k)
+    twice = F.filter(F.col("_sorted"), lambda x, k: near(x, at(k - 1)) | near(x, at(k + 1)))
+    before = lambda k: F.get(F.col("_twice"), k - 1)
+    clash = F.size(F.filter(F.col("_twice"), lambda x, k: near(x, before(k)) & unlike(x, before(k)))) > 0
+    grams = F.sort_array(F.transform(F.sequence(F.lit(0), n.cast("int") - 3), lambda i: F.struct(F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("g"), i.cast("bigint").alias("i"))))
+    gram = lambda k: F.get(F.col("_grams"), k).g
+    truly = F.filter(F.col("_grams"), lambda x, k: F.coalesce(x.g == gram(k - 1), F.lit(False)) | F.coalesce(x.g == gram(k + 1), F.lit(False)))
+    starts = F.sort_array(F.when(F.col("_clash"), F.transform(truly, lambda x: x.i)).otherwise(F.transform(F.col("_twice"), place)))
     gaps = F.transform(F.col("_starts"), lambda x, k: F.least(F.lit(3).cast("bigint"), x - F.coalesce(F.get(F.col("_starts"), k - 1), x - 3)))
     total = F.aggregate(gaps, F.lit(0).cast("bigint"), lambda a, b: a + b)
-    return {"_low": low, "_sorted": windows, "_starts": starts, "n_repeat_words": F.coalesce(total, F.lit(0).cast("bigint"))}
+    return {"_low": low, "_sorted": windows, "_twice": twice, "_clash": clash, "_grams": F.when(F.col("_clash"), grams), "_starts": starts, "n_repeat_words": F.coalesce(total, F.lit(0).cast("bigint"))}
 
 
 def ledger(docs: DataFrame) -> DataFrame:
