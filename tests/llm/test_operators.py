@@ -798,7 +798,32 @@ def test_piece_query(spark, odd):
 # -- pipeline
 
 
-def test_pipeline_stages(spark, small, odd):
+def test_pipeline_on_odd_documents(spark, small, odd, tmp_path):
+    """Nulls, repeated rows, clashing columns, empty tables: each stage keeps the columns and drops what its rule says."""
+    import corpus_pipeline as c
+
+    docs = odd
+    for name, stage in c.STAGES[:-1]:
+        after = written(stage(spark, docs, small), "odd")
+        assert after.columns == odd.columns and 0 < after.count() <= docs.count(), name
+        if name == "quality rules":  # the empty ones and the repetitive one go, those without an id stay
+            ids = [r.doc_id for r in after.collect()]
+            assert not {1, 2, 3, 4, 5, 11, 14} & set(ids) and None in ids
+        if name == "near duplicates":
+            ids = [r.doc_id for r in after.collect()]
+            assert len({6, 7, 8, 9} & set(ids)) == 1 and len(ids) == len(set(ids)) + (ids.count(None) or 1) - 1
+        docs = after
+        assert stage(spark, empty(odd), small).columns == odd.columns and stage(spark, empty(odd), small).count() == 0, name
+    assert c.STAGES[-1][1](spark, docs, small).count() == docs.count() and c.STAGES[-1][1](spark, empty(odd), small).count() == 0
+    # tables without rows
+    none = str(tmp_path)
+    empty(odd).write.parquet(f"{none}/documents.parquet")
+    for table in ("labels", "benchmark"):
+        empty(spark.read.parquet(f"{small}/{table}.parquet")).write.parquet(f"{none}/{table}.parquet")
+    assert c.run(spark, none).count() == 0
+
+
+def test_pipeline_stages(spark, small):
     import corpus_pipeline as c
 
     names = [n for n, _ in c.STAGES]
