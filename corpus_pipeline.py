@@ -1,4 +1,10 @@
-"""From raw documents to training tokens, in stages that each read what the one before wrote."""
+"""From raw documents to training tokens, in stages that each read what the one before wrote.
+
+Every stage but the last returns the columns of documents, whatever they are called. Defined cases:
+null and empty texts fail the quality rules; a null doc_id passes every stage that keeps its text; of
+repeated rows and near copies one row stays; a document with a benchmark window goes whole; without
+documents there are no rows, without labels the fixed insults decide, without a benchmark nothing is a leak.
+"""
 
 from __future__ import annotations
 
