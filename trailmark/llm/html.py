@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailmark.llm.shared import small_batches
+
 #: Elements by their role.
 RAW = frozenset("script style textarea title iframe noembed noframes noscript template svg".split())
 #: Formulas: text in a line; these and svg can close themselves.
@@ -359,4 +361,5 @@ def extracted(pages: DataFrame) -> DataFrame:
             texts = [main_text(x.as_py()) for x in batch.column("html")]
             yield pa.RecordBatch.from_arrays([batch.column("page_id").cast(pa.int64()), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
+    small_batches(pages.sparkSession)
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailmark.llm.shared import small_batches
+
 #: Phrases whose every place counts.
 PHRASES = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
 #: Labels, and notices that licences ask for or whole licences.
@@ -78,7 +80,7 @@ LEAST_RUN = 3
 GAP = 8
 #: Share of a template that a chain must cover.
 COVER = 0.85
-KEPT_WORDS = 200_000
+KEPT_WORDS = 100_000
 _SPACED = bytes(c + 32 if 65 <= c <= 90 else c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
 
@@ -255,6 +257,7 @@ class Automaton:
 def scanned(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and ``spans``
     (label, first word, word behind the last, share of the template covered)."""
+    small_batches(docs.sparkSession)
     broadcast = docs.sparkSession.sparkContext.broadcast(Automaton(templates, phrases))  # made of the templates alone
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.shared import written
+from trailmark.llm.shared import small_batches, written
 
 SLOTS, BANDS, ROWS = 96, 24, 4
 #: Places of the longer sketch that sorts out pairs of a bucket before they are compared.
@@ -50,7 +50,7 @@ FEW = 200_000
 #: Members that one pivot's copy of its set serves, and those of a bucket's part.
 CHUNK = 256
 #: Word hashes that a Python worker keeps.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 100_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -218,6 +218,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, lo and hi (hash of the set) and print (hash of the text) of every row of ``docs``."""
+    small_batches(docs.sparkSession)
     rows = written(sketches(docs, k), "sketches")
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "print"))).alias("first")
     sets = rows.where("n > 0").groupBy("lo", "hi").agg(first, F.first("n").alias("n"), F.first("bands").alias("bands"))

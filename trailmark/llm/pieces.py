@@ -32,11 +32,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailmark.llm.shared import small_batches
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-KEPT = 250_000
+KEPT = 100_000
 #: Pairs of pieces whose verdict a worker keeps.
-KEPT_PAIRS = 400_000
+KEPT_PAIRS = 200_000
 #: Fixed values of the model format: kinds of piece and of model.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -222,6 +224,7 @@ def _slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
 
 def encoded(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """``docs`` columns doc_id and text, with ``ids`` (array<int>) and ``decoded``, the ids' text."""
+    small_batches(docs.sparkSession)
     data = docs.sparkSession.sparkContext.broadcast(_read(path))  # a vocabulary file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

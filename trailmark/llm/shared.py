@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -29,6 +30,18 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+#: Rows and bytes of an Arrow batch, at most. A batch of whole texts lies in the JVM's native memory and in the worker
+#: several times over, and the default of 10,000 rows is made for numbers.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session sends Python workers batches of texts, where its own limits are larger."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < int(re.sub(r"[^\d-]", "", spark.conf.get(key))) <= most:
+            spark.conf.set(key, most)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, its lineage cut."""
     path = work_dir(df.sparkSession, label)

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from trailmark.llm import neardup
 from trailmark.llm.licenses import words_of
-from trailmark.llm.shared import written
+from trailmark.llm.shared import small_batches, written
 
 #: Labelled rows that the terms are learned from, at most.
 SAMPLE = 12_000
@@ -50,7 +50,7 @@ GAIN = 16
 #: Lengths of the beginnings of words that can be terms, in bytes.
 HEADS = (4, 5, 6, 7)
 THRESHOLD = 0.3
-KEPT_WORDS = 200_000
+KEPT_WORDS = 100_000
 #: Insults in common use.
 INSULTS = "idiot moron stupid loser clown trash scum pathetic worthless disgusting imbecile dumbass bastard asshole".split()
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -296,6 +296,7 @@ class Scorer:
 
 def trained(docs: DataFrame, labels: DataFrame) -> Scorer:
     """The scorer learned from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
+    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (remainder(F.col("doc_id")) != 2))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -330,6 +331,7 @@ def trained(docs: DataFrame, labels: DataFrame) -> Scorer:
 
 def score_of(scorer: Scorer, spark: SparkSession) -> Callable[[Column], Column]:
     """The score of a text column."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(scorer)
 
     @F.pandas_udf("double")
