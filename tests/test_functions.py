@@ -59,7 +59,7 @@ points = st.lists(st.tuples(st.integers(0, 20), st.integers(0, 20)), min_size=1,
 @settings(max_examples=60, deadline=None)
 @given(p=points, q=points)
 def test_distances(kind, p, q):
-    assert distance.matrix_distance(np.array(p, float), np.array(q, float), kind) == pytest.approx(slow(p, q, kind))
+    assert distance.pair_distance(np.array(p, float), np.array(q, float), kind) == pytest.approx(slow(p, q, kind))
 
 
 def test_native_and_arrow_distances_agree(spark):

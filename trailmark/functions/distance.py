@@ -1,8 +1,8 @@
 """Distances of trajectories (planar, in degrees) and cheap bounds below them.
 
-Hausdorff and all bounds are native columns. Fréchet and DTW run over the diagonals of
-the pair's matrix in NumPy, in Arrow batches: the native form, nested aggregates, copies its row
-state at every step and is kept for short trajectories and for comparison.
+All bounds are native columns. Distances run in NumPy, in Arrow batches, in memory linear in
+the points and with early abandoning: the native forms, nested transforms and aggregates, copy their
+row state at every step and are kept for short trajectories and for comparison.
 """
 
 from __future__ import annotations
@@ -49,35 +49,66 @@ def by_rows(p: Column, q: Column, kind: str) -> Column:
     return F.element_at(F.aggregate(p, F.array().cast("array<double>"), row), -1)
 
 
-def matrix_distance(p: np.ndarray, q: np.ndarray, kind: str) -> float:
-    """Fréchet, Hausdorff or DTW of two point arrays (n by 2)."""
-    d = np.sqrt((p[:, None, 0] - q[None, :, 0]) ** 2 + (p[:, None, 1] - q[None, :, 1]) ** 2)
+#: Entries of a block of the matrix that Hausdorff looks at in one go.
+BLOCK = 1 << 20
+
+
+def _hausdorff(p: np.ndarray, q: np.ndarray, limit: float) -> float:
+    """In blocks of rows; ends early once a point of p is too far from all of q."""
+    rows = max(1, BLOCK // len(q))
+    nearest, most = np.full(len(q), np.inf), 0.0
+    for i in range(0, len(p), rows):
+        part = p[i : i + rows]
+        d = (part[:, None, 0] - q[None, :, 0]) ** 2 + (part[:, None, 1] - q[None, :, 1]) ** 2
+        most = max(most, float(d.min(1).max()))
+        if most > limit * limit:
+            return float("inf")
+        np.minimum(nearest, d.min(0), out=nearest)
+    return float(np.sqrt(max(most, float(nearest.max()))))
+
+
+def pair_distance(p: np.ndarray, q: np.ndarray, kind: str, limit: float = float("inf")) -> float:
+    """Fréchet, Hausdorff or DTW of two point arrays (n by 2); infinity as soon as it is sure to exceed ``limit``.
+
+    Fréchet and DTW go along the diagonals of the pairs' matrix, of which three are kept: memory is linear.
+    """
+    limit += 1e-9 * max(1.0, limit) if limit < float("inf") else 0.0  # rounding must not drop what is at the limit
     if kind == "hausdorff":
-        return float(max(d.min(1).max(), d.min(0).max()))
-    n, m = d.shape
+        return _hausdorff(p, q, limit)
+    if len(p) > len(q):
+        p, q = q, p
+    n, m = len(p), len(q)
+    px, py, qx, qy = (np.ascontiguousarray(c) for c in (p[:, 0], p[:, 1], q[::-1, 0], q[::-1, 1]))
     # a diagonal i + j = s, by i, between two cells of infinity; it needs the two diagonals before
-    before, last = np.full(n + 1, np.inf), np.full(n + 1, np.inf)
+    before, last, new = (np.full(n + 1, np.inf) for _ in range(3))
     for s in range(n + m - 1):
-        i = np.arange(max(0, s - m + 1), min(n, s + 1))
-        least = np.minimum(np.minimum(last[i], last[i + 1]), before[i]) if s else np.zeros(1)
-        cell = d[i, s - i]
-        new = np.full(n + 1, np.inf)
-        new[i + 1] = np.maximum(cell, least) if kind == "frechet" else cell + least
-        before, last = last, new
+        lo, hi = max(0, s - m + 1), min(n, s + 1)
+        at = slice(m - 1 - s + lo, m - 1 - s + hi)  # of q turned round, j = s - i
+        cell = np.sqrt((px[lo:hi] - qx[at]) ** 2 + (py[lo:hi] - qy[at]) ** 2)
+        new.fill(np.inf)
+        if s:
+            least = np.minimum(np.minimum(last[lo:hi], last[lo + 1 : hi + 1]), before[lo:hi])
+            new[lo + 1 : hi + 1] = np.maximum(cell, least) if kind == "frechet" else cell + least
+            # every path crosses this diagonal or steps over it from the one before
+            if min(new[lo + 1 : hi + 1].min(), last.min()) > limit:
+                return float("inf")
+        else:
+            new[1] = cell[0]
+        before, last, new = last, new, before
     return float(last[n])
 
 
 def exact(kind: str) -> Callable[..., Column]:
-    """The distance of columns (xs, ys, qxs, qys) of micro-degrees."""
+    """The distance of columns (xs, ys, qxs, qys) of micro-degrees; a fifth column is a limit beyond which infinity will do."""
     if kind not in KINDS:
         raise ValueError(f"unknown distance {kind}")
 
     @F.pandas_udf("double")
-    def distance(xs: pd.Series, ys: pd.Series, qxs: pd.Series, qys: pd.Series) -> pd.Series:
+    def distance(xs: pd.Series, ys: pd.Series, qxs: pd.Series, qys: pd.Series, limit: pd.Series) -> pd.Series:
         points = lambda a, b: np.stack([a, b], axis=1) / float(MICRO)
-        return pd.Series([matrix_distance(points(a, b), points(c, d), kind) for a, b, c, d in zip(xs, ys, qxs, qys, strict=True)], dtype="float64")
+        return pd.Series([pair_distance(points(a, b), points(c, d), kind, e) for a, b, c, d, e in zip(xs, ys, qxs, qys, limit, strict=True)], dtype="float64")
 
-    return distance
+    return lambda xs, ys, qxs, qys, limit=None: distance(xs, ys, qxs, qys, F.lit(float("inf")) if limit is None else limit)
 
 
 def point_to_box(x: Column, y: Column, box: dict[str, Column]) -> Column:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from trailmark.functions.grid import Grid
 from trailmark.model import BEIJING, MICRO, Extent
 
-#: Windows that are broadcast at once; more are joined by their cells, shuffled.
-FEW = 100_000
+#: Cells of windows, with four sides and four cells each, that are broadcast; more are joined by shuffle.
+FEW = 200_000
+_SIDES = ("xmin", "ymin", "xmax", "ymax")
 
 
 def _in(x: Column, y: Column, w: dict[str, Column]) -> Column:
@@ -74,18 +75,23 @@ def batch_join(df: DataFrame, windows: DataFrame, extent: Extent = BEIJING, reso
     """qid, oid, tid for a table of windows, in one join on grid cells.
 
     A trajectory is listed under the cells its points are in, a window under those it
-    covers; a pair meets once, in the first cell that both have, so no duplicates
-    arise. Points decide, so two rows with equal ids stay two rows.
+    covers; a pair is decided once, in the first of the trajectory's cells that the window covers,
+    which its four outer cells tell, so no duplicates arise. Points outside the extent have the
+    border's cells. Points decide, so two rows with equal ids stay two rows.
     """
     grid = Grid(extent, resolution, 2, 2, 2, 2)
     e = 1 / MICRO
-    micro = lambda c, d: F.round((F.col(c) + d) * MICRO)
-    span = lambda lo, hi, axis: F.sequence(grid.fine(micro(lo, -e), axis), grid.fine(micro(hi, e), axis))
-    w = windows.withColumn("cells", F.flatten(F.transform(span("xmin", "xmax", 0), lambda x: F.transform(span("ymin", "ymax", 1), lambda y: x * (1 << resolution) + y))))
-    w = w.select("qid", *(F.col(c).alias(f"w_{c}") for c in ("xmin", "ymin", "xmax", "ymax")), "cells", F.explode("cells").alias("cell"))
-    cells = F.array_sort(F.array_distinct(F.transform(grid.cells(), lambda p: p.x * (1 << resolution) + p.y)))
-    t = df.withColumn("t_cells", cells).select("oid", "tid", "xmin", "ymin", "xmax", "ymax", "xs", "ys", "t_cells", F.explode("t_cells").alias("cell"))
-    joined = t.join(F.broadcast(w) if windows.count() <= FEW else w, "cell")
-    sides = {c: F.col(f"w_{c}") for c in ("xmin", "ymin", "xmax", "ymax")}
-    first = F.array_min(F.array_intersect("t_cells", "cells")) == F.col("cell")
-    return joined.where(first & meets(sides)).select("qid", "oid", "tid")
+    edge = lambda c, d, axis: grid.fine(F.round((F.col(c) + d) * MICRO), axis)
+    w = windows.select("qid", *(F.col(c).alias(f"w_{c}") for c in _SIDES), edge("xmin", -e, 0).alias("cx0"), edge("ymin", -e, 1).alias("cy0"), edge("xmax", e, 0).alias("cx1"), edge("ymax", e, 1).alias("cy1"))
+    listed = w.agg(F.sum((F.col("cx1") - F.col("cx0") + 1) * (F.col("cy1") - F.col("cy0") + 1)).alias("n")).first().n or 0
+    w = w.select("*", F.explode(F.sequence("cx0", "cx1")).alias("cx")).select("*", F.explode(F.sequence("cy0", "cy1")).alias("cy"))
+    # a row is listed under its distinct cells with all of them, in order
+    cells = F.array_sort(F.array_distinct(grid.cells()))
+    t = df.select("oid", "tid", *_SIDES, "xs", "ys", cells.alias("cells")).select("*", F.explode("cells").alias("c"))
+    t = t.select("oid", "tid", *_SIDES, "xs", "ys", "cells", F.col("c.x").alias("cx"), F.col("c.y").alias("cy"))
+    sides = {c: F.col(f"w_{c}") for c in _SIDES}
+    joined = t.join(F.broadcast(w) if listed <= FEW else w, ["cx", "cy"])
+    # no cell of the row before this one is in the window too
+    here = F.struct(F.col("cx").alias("x"), F.col("cy").alias("y"))
+    earlier = F.exists("cells", lambda c: (c < here) & c.x.between(F.col("cx0"), F.col("cx1")) & c.y.between(F.col("cy0"), F.col("cy1")))
+    return joined.where(~earlier & meets(sides)).select("qid", "oid", "tid")

@@ -3,30 +3,43 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def _ranked(df: DataFrame, group: list[str], value: Column) -> DataFrame:
+    """``group``, v, its count c, the rank behind its last row, and per group n and s (sum): equal values are
+    counted before the shuffle, so that a group is as long as its distinct values."""
+    counts = df.groupBy(*group, value.alias("v")).agg(F.count("*").alias("c"))
+    every = W.partitionBy(*group)
+    upto = every.orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    return counts.withColumns({"upto": F.sum("c").over(upto), "n": F.sum("c").over(every), "s": F.sum(F.col("c") * F.col("v")).over(every)})
+
+
+def _at(rank: Column) -> Column:
+    """The value of a rank, from 0."""
+    return F.min(F.when(F.col("upto") > rank, F.col("v")))
+
+
 def workload_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     """Per group: minimum, maximum, whole average, middle, and values at 70, 80, 90 percent by rank floor(n * p) - 1."""
-    v = F.col("v")
-    at = lambda p: F.get(v, F.greatest(F.floor(F.size(v) * F.lit(p)) - 1, F.lit(0)).cast("int"))
-    rows = df.groupBy(group).agg(F.sort_array(F.collect_list(F.col(value).cast("bigint"))).alias("v"), F.sum(F.col(value).cast("bigint")).alias("s"))
-    size = F.size(v)
-    return rows.select(group, F.get(v, F.lit(0)).alias("min_v"), F.get(v, size - 1).alias("max_v"), F.expr("s div size(v)").alias("avg_v"), F.get(v, F.floor(size / 2).cast("int")).alias("mid_v"), at(0.7).alias("p70"), at(0.8).alias("p80"), at(0.9).alias("p90"))
+    n = F.col("n")
+    at = lambda p: _at(F.greatest(F.floor(n * F.lit(p)) - 1, F.lit(0)))
+    rows = _ranked(df, [group], F.col(value).cast("bigint"))
+    return rows.groupBy(group).agg(F.min("v").alias("min_v"), F.max("v").alias("max_v"), F.expr("max(s) div max(n)").alias("avg_v"), _at(F.floor(n / 2)).alias("mid_v"), at(0.7).alias("p70"), at(0.8).alias("p80"), at(0.9).alias("p90"))
 
 
 def profile_stats(df: DataFrame) -> DataFrame:
     """(method, metric, value) to n, min, max, avg, p50, p90 by nearest rank; metrics that are all zero are left out."""
-    v = F.col("v")
-    at = lambda p: F.get(v, (F.ceil(F.size(v) * F.lit(p)) - 1).cast("int"))
-    rows = df.groupBy("method", "metric").agg(F.sort_array(F.collect_list("value")).alias("v"), F.avg("value").alias("avg_v"), F.max(F.abs("value")).alias("top"))
-    return rows.where("top > 0").select("method", "metric", F.size(v).alias("n"), F.array_min(v).alias("min_v"), F.array_max(v).alias("max_v"), "avg_v", at(0.5).alias("p50"), at(0.9).alias("p90"))
+    n = F.col("n")
+    at = lambda p: _at(F.ceil(n * F.lit(p)) - 1)
+    rows = _ranked(df, ["method", "metric"], F.col("value"))
+    out = rows.groupBy("method", "metric").agg(F.max("n").cast("int").alias("n"), F.min("v").alias("min_v"), F.max("v").alias("max_v"), (F.max("s") / F.max("n")).alias("avg_v"), at(0.5).alias("p50"), at(0.9).alias("p90"), F.max(F.abs("v")).alias("top"))
+    return out.where("top > 0").drop("top")
 
 
 def case_means(df: DataFrame) -> DataFrame:
     """(case, seq, latency_ms, ranges, candidates, finals) to means; a case's first query warms up and counts only if alone."""
-    from pyspark.sql import Window as W
-
     n = F.count("*").over(W.partitionBy("case"))
     rows = df.withColumn("n", n).where((F.col("seq") > 0) | (F.col("n") == 1))
     return rows.groupBy("case").agg(*(F.avg(c).alias(f"avg_{c}") for c in ("latency_ms", "ranges", "candidates", "finals")), F.count("*").alias("query_count"))

@@ -45,8 +45,8 @@ def _paired(df: DataFrame, queries: DataFrame, condition: Column) -> DataFrame:
     return rows.join(F.broadcast(queries), other & condition)
 
 
-def _scored(rows: DataFrame, kind: str) -> DataFrame:
-    return rows.withColumn("dist", exact(kind)("xs", "ys", "qxs", "qys"))
+def _scored(rows: DataFrame, kind: str, limit: Column | None = None) -> DataFrame:
+    return rows.withColumn("dist", exact(kind)("xs", "ys", "qxs", "qys", limit))
 
 
 def _end_to_end(eps: Column) -> Column:
@@ -68,7 +68,7 @@ def within(df: DataFrame, queries: DataFrame, eps: float, kind: str) -> DataFram
         rows = _paired(df, q, near)
         rows = rows.where(lower_bound(points_of("qxs", "qys"), _box()) <= e + 1e-9)
         rows = rows.where(lower_bound(points_of(), _box("q_")) <= e + 1e-9)
-        parts.append(_scored(rows, kind).where(F.col("dist") <= e))
+        parts.append(_scored(rows, kind, e).where(F.col("dist") <= e))
     found = reduce(DataFrame.unionAll, parts)
     # one answer for an (oid, tid), the nearest
     return found.groupBy("qid", "oid", "tid").agg(F.round(F.min("dist"), DIGITS).alias("dist"))
@@ -87,13 +87,13 @@ def nearest(df: DataFrame, queries: DataFrame, k: int, kind: str) -> DataFrame:
     for q in _blocks(queries):
         lb = F.greatest(lower_bound(points_of("qxs", "qys"), _box()), lower_bound(points_of(), _box("q_")))
         rows = _paired(df, q, F.lit(True)).withColumn("lb", lb)
-        # distinct ids must be k, and an id's rows are few, so the first k rows by id are kept
-        ids = rows.groupBy("qid", "oid", "tid").agg(F.min("lb").alias("lb"))
-        some = ids.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("qid", "oid", "tid")
-        first = _scored(rows.join(some, ["qid", "oid", "tid"], "left_semi"), kind).groupBy("qid", "oid", "tid").agg(F.min("dist").alias("dist"))
+        # the limit on a rank takes k rows a query in each task before anything is shuffled
+        some = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
+        first = _scored(some, kind).groupBy("qid", "oid", "tid").agg(F.min("dist").alias("dist"))
+        # should an id have several rows among them, so that ids are less than k, nothing is ruled out
         bound = first.groupBy("qid").agg(F.when(F.count("*") >= k, F.max("dist")).otherwise(F.lit(float("inf"))).alias("tau"))
-        left = rows.join(F.broadcast(bound), "qid").where(F.col("lb") <= F.col("tau") + 1e-9)
-        parts.append(_scored(left, kind))
+        left = rows.join(F.broadcast(bound), "qid", "left").withColumn("tau", F.coalesce("tau", F.lit(float("inf")))).where(F.col("lb") <= F.col("tau") + 1e-9)
+        parts.append(_scored(left, kind, F.col("tau")).where(F.col("dist") < float("inf")))
     found = reduce(DataFrame.unionAll, parts).groupBy("qid", "oid", "tid").agg(F.round(F.min("dist"), DIGITS).alias("dist"))
     rank = F.row_number().over(W.partitionBy("qid").orderBy("dist", "oid", "tid"))
     return found.withColumn("rnk", rank).where(F.col("rnk") <= k).select("qid", "rnk", "oid", "tid", "dist")

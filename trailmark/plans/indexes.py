@@ -409,20 +409,42 @@ class AdaptiveIndex:
         return candidates(rows, Plan([(0, 1 << 62)], plan.masks), "q_order")
 
 
-#: Shapes of a node that the greedy tour orders; the rest follow in order of their code.
-TOUR = 2048
-
-
 def greedy_tour(shapes: np.ndarray) -> np.ndarray:
-    """Positions of shapes in a tour that always goes to the nearest unvisited one (fewest differing cells, then first)."""
-    n = len(shapes)
-    left, tour, at = np.ones(n, bool), np.zeros(n, np.int64), 0
+    """Positions of the sorted, distinct shapes in a tour that always goes to the nearest unvisited one (fewest
+    differing cells, then the smallest).
+
+    Masks of up to 16 cells are looked up by what they differ in, one cell, two cells and so on, until
+    fewer shapes are left than there are such masks.
+    """
+    n, bits = len(shapes), int(shapes.max()).bit_length() if len(shapes) else 0
+    tour = np.zeros(n, np.int64)
+    spot = np.full(1 << bits, -1, np.int64) if bits <= 16 else None  # where an unvisited shape is
+    rings: list[np.ndarray] = []
+    if spot is not None:
+        spot[shapes] = np.arange(n)
+        masks = np.arange(1 << bits, dtype=np.int64)
+        cells = np.bitwise_count(masks)
+        rings = [masks[cells == d] for d in range(bits + 1)]
+    left, at = np.ones(n, bool), 0
     for i in range(n):
         tour[at], left[at] = i, False
-        if i + 1 < n:
-            far = np.bitwise_count(shapes ^ shapes[at]).astype(np.int64)
-            far[~left] = 1 << 30
-            at = int(far.argmin())
+        if i + 1 == n:
+            break
+        here, found = shapes[at], -1
+        if spot is not None:
+            spot[here] = -1
+            for ring in rings[1:]:
+                if len(ring) > n - i:
+                    break
+                near = spot[here ^ ring]
+                near = near[near >= 0]
+                if len(near):
+                    found = int(near.min())
+                    break
+        if found < 0:
+            rest = np.flatnonzero(left)
+            found = int(rest[np.bitwise_count(shapes[rest] ^ here).argmin()])
+        at = found
     return tour
 
 
@@ -431,8 +453,7 @@ def shape_orders(counts: DataFrame, key: str) -> DataFrame:
 
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("shape", ignore_index=True)
-        tour = greedy_tour(pdf["shape"].to_numpy(np.int64)[:TOUR])
-        return pdf.assign(shape_order=np.concatenate([tour, np.arange(len(tour), len(pdf))]))
+        return pdf.assign(shape_order=greedy_tour(pdf["shape"].to_numpy(np.int64)))
 
     return counts.groupBy(key).applyInPandas(order, f"{key} bigint, shape bigint, n bigint, shape_order bigint")
 
