@@ -1,4 +1,4 @@
-"""Command line: store, query, similar, nearest, validate, compare, parameters, ablation, learn."""
+"""Command line: store, query, similar, nearest, validate, dump, compare, parameters, ablation, learn, suite."""
 
 from __future__ import annotations
 
@@ -39,6 +39,8 @@ def main(args: list[str] | None = None) -> None:
     mode("parameters", "text", "windows", "csv")
     mode("ablation", "text", "windows", "csv")
     mode("learn", "text", "windows", "out")
+    mode("dump", "text", "windows", "out")
+    mode("suite", "config")
     a = p.parse_args(args)
     spark = session()
     ship(spark)
@@ -49,13 +51,18 @@ def main(args: list[str] | None = None) -> None:
         table, index = tables.read_table(spark, a.table)
         range_query.range_queries(table, index, list(enumerate(_windows(a.windows)))).show(100, False)
     elif a.mode in ("similar", "nearest"):
-        table, _ = tables.read_table(spark, a.table)
+        table, index = tables.read_table(spark, a.table)
         asked = model.trajectories(workloads.query_trajectories(spark, a.queries)).withColumn("qid", F.xxhash64("oid", "tid"))
         asked = asked.select("qid", F.col("oid").alias("q_oid"), F.col("tid").alias("q_tid"), F.col("xs").alias("qxs"), F.col("ys").alias("qys"), *(F.col(c).alias(f"q_{c}") for c in ("xmin", "ymin", "xmax", "ymax")))
-        found = similarity.within(table, asked, float(a.value), a.distance) if a.mode == "similar" else similarity.nearest(table, asked, int(a.value), a.distance)
+        found = similarity.within_indexed(table, index, asked, float(a.value), a.distance) if a.mode == "similar" else similarity.nearest_indexed(table, index, asked, int(a.value), a.distance)
         found.orderBy("qid", "dist").show(100, False)
     elif a.mode == "validate":
         experiments.validate(data, experiments.method(a.kind), _windows(a.windows)).show(100, False)
+    elif a.mode == "dump":
+        experiments.dump_validation(data, experiments.method(a.kind), _windows(a.windows), a.out).groupBy("qid", "verdict").count().show(100, False)
+    elif a.mode == "suite":
+        text = "\n".join(r.value for r in spark.read.text(a.config, wholetext=True).collect())  # one file
+        experiments.run_suite(spark, text, lambda path: model.trajectories(parse.read_text(spark, path)))
     elif a.mode == "compare":
         rows = experiments.comparison(spark, data, {("given", 0): _windows(a.windows)}, sorted(KINDS))
         experiments.write_csv(a.csv, "comparison", rows)

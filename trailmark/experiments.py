@@ -91,6 +91,7 @@ def statistics(values: list[int]) -> tuple[int, ...]:
 
 
 def write_statistics(path: str, rows: list[Measure]) -> None:
+    # fixed values: the report's row labels
     kinds = (("time", "latency_ms"), ("rowKeyRanges", "ranges"), ("candidates", "candidates"), ("finalSize", "finals"))
     write_csv(path, "statistics", [(name, *statistics([int(getattr(r, c)) for r in rows])) for name, c in kinds])
 
@@ -138,18 +139,28 @@ def ablation(spark: SparkSession, data: DataFrame, windows: list, extent: Extent
     return out
 
 
-def similarity_suite(data: DataFrame, keys: DataFrame, kinds: list[str], ks: list[int], thresholds: list[float], dataset: str = "data") -> list[tuple]:
-    """Both query types over their parameters; all queries of a case are one batch."""
-    queries = similarity.as_queries(data, keys)
-    n, out = queries.count(), []
-    for kind in kinds:
-        cases = [("top_k", "k", k, lambda k=k: similarity.nearest(data, queries, k, kind), 2) for k in ks]
-        cases += [("similarity", "threshold", e, lambda e=e: similarity.within(data, queries, e, kind), 1) for e in thresholds]
-        for query_type, name, value, run, passes in cases:
-            began = time.perf_counter()
-            found = run().count()
-            took = 1000 * (time.perf_counter() - began)
-            out.append((dataset, query_type, name, value, kind.upper(), "bounds", took / max(1, n), 0, data.count(), found / max(1, n), passes, n))
+def similarity_suite(data: DataFrame, keys: DataFrame, kinds: list[str], ks: list[int], thresholds: list[float], dataset: str = "data", methods: Iterable[str] = ("shape",)) -> list[tuple]:
+    """Both query types over their parameters and methods; all queries of a case are one batch.
+
+    Ranges and candidates are those of the last pass, per query: of a threshold, or of the radius that holds the k nearest.
+    """
+    queries = similarity.as_queries(data, keys).cache()
+    boxes = similarity._envelopes(queries)
+    n, out = len(boxes), []
+    for name in methods:
+        index = method(name)
+        table = write_table(data, index)
+        for kind in kinds:
+            cases = [("top_k", "k", k, lambda k=k, kind=kind: similarity.nearest_indexed(table, index, queries, k, kind), 2) for k in ks]
+            cases += [("similarity", "threshold", e, lambda e=e, kind=kind: similarity.within_indexed(table, index, queries, e, kind), 1) for e in thresholds]
+            for query_type, parameter, value, run, passes in cases:
+                began = time.perf_counter()
+                found = run().collect()  # k or fewer a query, or a threshold's answers
+                took = 1000 * (time.perf_counter() - began)
+                reach = value if query_type == "similarity" else max((r.dist for r in found), default=0.0)
+                ranges = sum(len(index.plan(similarity.grown(b, reach), True).ranges) if hasattr(index, "plan") else 1 for b in boxes.values())
+                candidates = sum(r.candidates for r in similarity.candidate_counts(table, index, queries, reach).collect())
+                out.append((dataset, query_type, parameter, value, kind.upper(), name, took / max(1, n), ranges / max(1, n), candidates / max(1, n), len(found) / max(1, n), passes, n))
     return out
 
 
@@ -165,10 +176,49 @@ def validate(data: DataFrame, index, windows: list) -> DataFrame:
     return reports.compared(truth, found, ["qid", "oid", "tid"]).groupBy("qid", "verdict").agg(F.count("*").alias("n"))
 
 
+def dump_validation(data: DataFrame, index, windows: list, path: str) -> DataFrame:
+    """Writes each window's answers with their verdicts (correct, missing, extra), a folder a verdict, and returns them as read back."""
+    table = write_table(data, index)
+    numbered = list(enumerate(windows))
+    found = range_query.range_queries(table, index, numbered)
+    truth = range_query.batch_join(data, data.sparkSession.createDataFrame([(q, *map(float, w)) for q, w in numbered], "qid int, xmin double, ymin double, xmax double, ymax double"), index.extent)
+    rows = reports.compared(truth, found, ["qid", "oid", "tid"])
+    rows.write.mode("overwrite").partitionBy("verdict").option("header", True).csv(path)
+    return data.sparkSession.read.schema("qid int, oid bigint, tid string, verdict string").option("header", True).csv(path)
+
+
 def read_config(path: str) -> dict:
     """An experiment's JSON: datasets, distributions, queryRanges, methods, queryTypes, topKValues, similarityThresholds, distanceFunctions, outputDir."""
-    d = json.loads(Path(path).read_text())
+    return config(Path(path).read_text())
+
+
+def config(text: str) -> dict:
+    d = json.loads(text)
     missing = [k for k in ("datasets", "methods", "outputDir") if k not in d]
     if missing:
         raise ValueError(f"missing: {', '.join(missing)}")
     return {"queryTypes": ["top_k", "similarity"], "topKValues": [50], "similarityThresholds": [0.01], "distanceFunctions": ["FRECHET"], "queryLimit": 100} | d
+
+
+def run_suite(spark: SparkSession, text: str, read) -> dict[str, list[tuple]]:
+    """Runs what an experiment's JSON asks for and writes its CSVs; ``read(path)`` gives a trajectory table.
+
+    A data set has name, path and windows, a list of windows or (distribution, metres, windows); similarity
+    runs if there are queryTypes and the data set has queries, a list of (oid, tid).
+    """
+    c, out = config(text), {"comparison": [], "similarity": []}
+    for d in c["datasets"]:
+        data = read(d["path"]).cache()
+        if d.get("windows"):
+            loads = {(w["distribution"], w["metres"]): w["windows"] for w in d["windows"]} if isinstance(d["windows"][0], dict) else {("given", METRES): d["windows"]}
+            out["comparison"] += comparison(spark, data, loads, [m.lower() for m in c["methods"]], d["name"])
+        if d.get("queries"):
+            keys = spark.createDataFrame([(i, int(o), str(t)) for i, (o, t) in enumerate(d["queries"][: c["queryLimit"]])], "qid int, oid bigint, tid string")
+            ks = c["topKValues"] if "top_k" in c["queryTypes"] else []
+            thresholds = c["similarityThresholds"] if "similarity" in c["queryTypes"] else []
+            out["similarity"] += similarity_suite(data, keys, [f.lower() for f in c["distanceFunctions"]], ks, thresholds, d["name"], [m.lower() for m in c["methods"]])
+        data.unpersist()
+    for kind, rows in out.items():
+        if rows:
+            write_csv(f"{c['outputDir']}/{kind}.csv", kind, rows)
+    return out

@@ -12,6 +12,8 @@ from trailmark.model import BEIJING, MICRO, Extent
 
 #: Cells of windows, with four sides and four cells each, that are broadcast; more are joined by shuffle.
 FEW = 200_000
+#: Windows that one scan answers.
+BLOCK = 1000
 _SIDES = ("xmin", "ymin", "xmax", "ymax")
 
 
@@ -40,8 +42,15 @@ def range_query(indexed: DataFrame, index, window) -> DataFrame:
 
 
 def range_queries(indexed: DataFrame, index, windows) -> DataFrame:
-    """qid, oid, tid of each (qid, window) of a short list."""
-    parts = [range_query(indexed, index, w).select(F.lit(q).alias("qid"), "oid", "tid") for q, w in windows]
+    """qid, oid, tid of each (qid, window) of a list: the ranges of all windows in one scan, then
+    each window against what they leave. Lists of more than ``BLOCK`` windows are taken in blocks."""
+    windows = list(windows)
+    parts = []
+    for i in range(0, max(1, len(windows)), BLOCK):
+        some = windows[i : i + BLOCK]
+        asked = indexed.sparkSession.createDataFrame([(q, *map(float, w)) for q, w in some], "qid int, w_xmin double, w_ymin double, w_xmax double, w_ymax double")
+        rows = index.select(indexed, [w for _, w in some]).select("oid", "tid", *_SIDES, "xs", "ys")
+        parts.append(rows.join(F.broadcast(asked), meets({c: F.col(f"w_{c}") for c in _SIDES})).select("qid", "oid", "tid"))
     return reduce(DataFrame.unionAll, parts)
 
 

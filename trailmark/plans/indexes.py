@@ -1,7 +1,9 @@
 """The physical indexes: how each keys a row, and which keys a window needs.
 
-Every index adds columns to a trajectory table (``index``) and makes of a window
-the rows that may answer it (``candidates``), always a superset of the answer.
+Every index adds columns to a trajectory table (``index``) and makes of windows the rows that may
+answer one of them (``select``), always a superset of the answers: rows with a point in a
+window, or, for ``whole``, with no point outside it. The latter serves similarity: all points of a trajectory
+within eps of another lie in the other's envelope grown by eps.
 """
 
 from __future__ import annotations
@@ -16,15 +18,37 @@ from pyspark.sql import functions as F
 
 from trailmark.functions.grid import Grid, subtree
 from trailmark.model import BEIJING, Extent
-from trailmark.plans.ranges import Plan, candidates, merged
+from trailmark.plans.ranges import MOST, Plan, masked, merged, united, within
 
 
-def _walk(grid: Grid, win, visit) -> Plan:
-    """Breadth-first over nodes whose element meets the window; ``visit`` says what a node that is not contained adds."""
+class Planned:
+    """What the indexes with plans have in common; ``plan(window, whole)`` and ``rows(df, plan, whole)`` are their own."""
+
+    def select(self, df: DataFrame, windows: list, whole: bool = False) -> DataFrame:
+        return self.rows(df, united([self.plan(w, whole) for w in windows] or [Plan()]), whole)
+
+    def candidates(self, df: DataFrame, window) -> DataFrame:
+        return self.select(df, [window])
+
+    def rows(self, df: DataFrame, plan: Plan, whole: bool) -> DataFrame:
+        return df.where(within("idx", plan.ranges))
+
+    def parts(self) -> dict[str, Column]:
+        return {}
+
+
+def _walk(grid: Grid, win, whole: bool, visit) -> Plan:
+    """Breadth-first over nodes whose element meets the window; ``visit`` says what a node that is not contained adds.
+
+    For ``whole`` the window must meet the node's own cell, as that holds the lower left corner of all below.
+    """
     plan, todo = Plan(), deque([(0, 0, 0)])
     while todo:
         level, ix, iy = todo.popleft()
         x0, y0, x1, y1 = grid.element(level, ix, iy)
+        w = 1 << grid.resolution - level
+        if whole and (win[0] > x0 + w - 1 or win[1] > y0 + w - 1):
+            continue
         if win[0] > x1 or win[2] < x0 or win[1] > y1 or win[3] < y0:
             continue
         if win[0] <= x0 and win[1] <= y0 and x1 <= win[2] and y1 <= win[3]:
@@ -35,12 +59,12 @@ def _walk(grid: Grid, win, visit) -> Plan:
         visit(plan, level, ix, iy, False)
         if level < grid.resolution:
             todo.extend((level + 1, 2 * ix + dx, 2 * iy + dy) for dx in (0, 1) for dy in (0, 1))
-    plan.ranges = merged(plan.ranges)
+    plan.ranges, plan.sure = merged(plan.ranges), merged(plan.sure)
     return plan
 
 
 @dataclass(frozen=True)
-class ShapeIndex:
+class ShapeIndex(Planned):
     """Key (quad << alpha * beta) | shape: an element of alpha by beta cells of its level, a bit a cell.
 
     A contained element takes its whole subtree; one that the window meets takes its
@@ -61,25 +85,29 @@ class ShapeIndex:
         bits = self.alpha * self.beta
         return self.grid.indexed(df).withColumn("idx", F.shiftleft("quad", bits).bitwiseOR(F.col("shape")))
 
-    def plan(self, window) -> Plan:
+    def plan(self, window, whole: bool = False) -> Plan:
         grid, win, bits = self.grid, self.grid.window(window), self.alpha * self.beta
 
         def visit(plan: Plan, level: int, ix: int, iy: int, contained: bool) -> None:
             code = grid.node_code(level, ix, iy)
             if contained:
                 plan.ranges.append((code << bits, (code + subtree(grid.resolution, level) << bits) - 1))
+                plan.sure.append((code, code + subtree(grid.resolution, level) - 1))
                 return
             mask = grid.window_mask(level, ix, iy, win)
             if mask:
                 plan.ranges.append((code << bits, (code + 1 << bits) - 1))
-                plan.masks[code] = mask
+                plan.masks[code] = [mask]
 
-        return _walk(grid, win, visit)
+        return _walk(grid, win, whole, visit)
 
-    def candidates(self, df: DataFrame, window) -> DataFrame:
-        plan = self.plan(window)
-        rows = candidates(df, Plan(plan.ranges), "idx")
-        return candidates(rows, Plan([(0, 1 << 62)], plan.masks), "quad")
+    def rows(self, df: DataFrame, plan: Plan, whole: bool) -> DataFrame:
+        return masked(super().rows(df, plan, whole), plan, "quad", whole)
+
+    def parts(self) -> dict[str, Column]:
+        """What a key says: its node and shape."""
+        bits = self.alpha * self.beta
+        return {"quad": F.shiftright("idx", bits), "shape": F.col("idx").bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))}
 
 
 @dataclass(frozen=True)
@@ -94,7 +122,7 @@ class XZPlusIndex(ShapeIndex):
 
 
 @dataclass(frozen=True)
-class XZIndex:
+class XZIndex(Planned):
     """Key: the quad of an element of 2 by 2 cells, no shapes."""
 
     extent: Extent = BEIJING
@@ -108,17 +136,14 @@ class XZIndex:
     def index(self, df: DataFrame) -> DataFrame:
         return self.grid.indexed(df).withColumn("idx", F.col("quad"))
 
-    def plan(self, window) -> Plan:
+    def plan(self, window, whole: bool = False) -> Plan:
         grid, win = self.grid, self.grid.window(window)
 
         def visit(plan: Plan, level: int, ix: int, iy: int, contained: bool) -> None:
             code = grid.node_code(level, ix, iy)
             plan.ranges.append((code, code + subtree(grid.resolution, level) - 1 if contained else code))
 
-        return _walk(grid, win, visit)
-
-    def candidates(self, df: DataFrame, window) -> DataFrame:
-        return candidates(df, self.plan(window), "idx")
+        return _walk(grid, win, whole, visit)
 
 
 #: Position codes of the sets of occupied quarters (lower left 1, lower right 2, upper left 4, upper right 8).
@@ -126,7 +151,7 @@ POSITIONS = {3: 1, 5: 2, 7: 3, 15: 4, 11: 5, 13: 6, 14: 7, 9: 8, 6: 9, 1: 10}
 
 
 @dataclass(frozen=True)
-class XZStarIndex:
+class XZStarIndex(Planned):
     """Key: element of 2 by 2 cells and the position code of its occupied quarters.
 
     An element has nine codes, ten on the last level; a subtree's codes are consecutive.
@@ -169,7 +194,7 @@ class XZStarIndex:
             position = F.when(quarters == q, p).otherwise(position)
         return df.withColumn("pos", position).withColumn("idx", total + F.col("pos"))
 
-    def plan(self, window) -> Plan:
+    def plan(self, window, whole: bool = False) -> Plan:
         grid, win = self.grid, self.grid.window(window)
 
         def visit(plan: Plan, level: int, ix: int, iy: int, contained: bool) -> None:
@@ -179,16 +204,28 @@ class XZStarIndex:
                 return
             mask = grid.window_mask(level, ix, iy, win)
             quarters = sum(quarter for bit, quarter in ((0, 1), (1, 4), (2, 2), (3, 8)) if mask >> bit & 1)
-            plan.ranges.extend((base + p, base + p) for q, p in POSITIONS.items() if q & quarters and (p < 10 or level == grid.resolution))
+            fits = (lambda q: not q & ~quarters) if whole else (lambda q: q & quarters)
+            plan.ranges.extend((base + p, base + p) for q, p in POSITIONS.items() if fits(q) and (p < 10 or level == grid.resolution))
+
+        return _walk(grid, win, whole, visit)
+
+
+class Intervals:
+    """What the indexes with an interval of keys have in common; ``interval(window)`` is their own."""
 
-        return _walk(grid, win, visit)
+    def select(self, df: DataFrame, windows: list, whole: bool = False) -> DataFrame:
+        asked = [self.interval(w) for w in windows]
+        if len(asked) > MOST:  # one for all
+            asked = [(min(lo for lo, _ in asked), max(hi for _, hi in asked))]
+        test = "(idx >= {0}L AND max_sfc <= {1}L)" if whole else "(idx <= {1}L AND max_sfc >= {0}L)"
+        return df.where(F.expr(" OR ".join(test.format(*a) for a in asked) or "false"))
 
     def candidates(self, df: DataFrame, window) -> DataFrame:
-        return candidates(df, self.plan(window), "idx")
+        return self.select(df, [window])
 
 
 @dataclass(frozen=True)
-class CurveIndex:
+class CurveIndex(Intervals):
     """Key interval (min_sfc, max_sfc): an envelope's corners on a curve that grows along both axes.
 
     ``theta`` gives each bit of x, then of y, lowest first, its place in the key.
@@ -233,9 +270,6 @@ class CurveIndex:
         x0, y0, x1, y1 = self.grid.window(window)
         return self.key(x0, y0), self.key(x1, y1)
 
-    def candidates(self, df: DataFrame, window) -> DataFrame:
-        low, high = self.interval(window)
-        return df.where((F.col("idx") <= high) & (F.col("max_sfc") >= low))
 
 
 @dataclass(frozen=True)
@@ -247,7 +281,7 @@ class BMNode:
 
 
 @dataclass(frozen=True)
-class BMTreeIndex:
+class BMTreeIndex(Intervals):
     """As ``CurveIndex``, on a piecewise curve: a tree says which axis gives the next bit, from the highest down.
 
     A leaf's remaining bits alternate, beginning with the axis after the last one
@@ -304,13 +338,10 @@ class BMTreeIndex:
         low, high = self.keys(np.array([x0, x1]), np.array([y0, y1]))
         return int(low), int(high)
 
-    def candidates(self, df: DataFrame, window) -> DataFrame:
-        low, high = self.interval(window)
-        return df.where((F.col("idx") <= high) & (F.col("max_sfc") >= low))
 
 
 @dataclass
-class AdaptiveIndex:
+class AdaptiveIndex(Planned):
     """Key (order << bits) | shape order, over the nodes that hold many trajectories.
 
     ``build`` counts the trajectories of every node's subtree and keeps the root and the nodes
@@ -384,29 +415,29 @@ class AdaptiveIndex:
         rows = self._placed(df).join(orders, ["q_order", "shape"])
         return rows.withColumn("idx", F.shiftleft("q_order", 16).bitwiseOR(F.col("shape_order").cast("bigint")))
 
-    def plan(self, window) -> Plan:
+    def plan(self, window, whole: bool = False) -> Plan:
         """Over orders. Every kept node is looked at: its element may reach out of its parent's."""
         grid, win, plan = self.grid, self.grid.window(window), Plan()
         for n in self.nodes:
             x0, y0, x1, y1 = grid.element(n["level"], n["ix"], n["iy"])
-            if win[0] > x1 or win[2] < x0 or win[1] > y1 or win[3] < y0:
+            w = 1 << grid.resolution - n["level"]
+            if win[0] > x1 or win[2] < x0 or win[1] > y1 or win[3] < y0 or whole and (win[0] > x0 + w - 1 or win[1] > y0 + w - 1):
                 continue
             if win[0] <= x0 and win[1] <= y0 and x1 <= win[2] and y1 <= win[3]:
                 plan.contained += 1
-                plan.ranges.append((n["order"], n["order"]))
-                continue
-            mask = grid.window_mask(n["level"], n["ix"], n["iy"], win, n["alpha"], n["beta"]) & n["union"]
-            if mask:
+                plan.sure.append((n["order"], n["order"]))
+            else:
+                mask = grid.window_mask(n["level"], n["ix"], n["iy"], win, n["alpha"], n["beta"]) & n["union"]
+                if not mask:
+                    continue
                 plan.met += 1
-                plan.ranges.append((n["order"], n["order"]))
-                plan.masks[n["order"]] = mask
-        plan.ranges = merged(plan.ranges)
+                plan.masks[n["order"]] = [mask]
+            plan.ranges.append((n["order"] << 16, (n["order"] + 1 << 16) - 1))
+        plan.ranges, plan.sure = merged(plan.ranges), merged(plan.sure)
         return plan
 
-    def candidates(self, df: DataFrame, window) -> DataFrame:
-        plan = self.plan(window)
-        rows = candidates(df, Plan([(lo << 16, (hi + 1 << 16) - 1) for lo, hi in plan.ranges]), "idx")
-        return candidates(rows, Plan([(0, 1 << 62)], plan.masks), "q_order")
+    def rows(self, df: DataFrame, plan: Plan, whole: bool) -> DataFrame:
+        return masked(super().rows(df, plan, whole), plan, "q_order", whole)
 
 
 def greedy_tour(shapes: np.ndarray) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -9,17 +10,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A predicate names so many intervals at most; the closest ones are joined beyond it.
-MOST = 200
+MOST = 64
 
 
 @dataclass
 class Plan:
-    """Key intervals (both ends included) whose rows may answer, and for some keys a mask that a row's shape must meet."""
+    """Key intervals (both ends included) whose rows may answer, for some nodes masks one of which a row's shape
+    must meet, and ``sure``, intervals of nodes that need none."""
 
     ranges: list[tuple[int, int]] = field(default_factory=list)
-    masks: dict[int, int] = field(default_factory=dict)
+    masks: dict[int, list[int]] = field(default_factory=dict)
     contained: int = 0
     met: int = 0
+    sure: list[tuple[int, int]] = field(default_factory=list)
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -43,22 +46,33 @@ def capped(ranges: list[tuple[int, int]], most: int = MOST) -> list[tuple[int, i
     return [(ranges[a][0], ranges[b - 1][1]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def within(key: Column, ranges: list[tuple[int, int]]) -> Column:
+def within(key: str, ranges: list[tuple[int, int]]) -> Column:
     """Whether a key is in one of the ranges: plain comparisons, which Parquet statistics can use."""
-    tests = [(key >= lo) & (key <= hi) if lo != hi else key == lo for lo, hi in capped(ranges)]
-    while len(tests) > 1:  # in pairs, so that the expression stays shallow
-        tests = [a | b for a, b in zip(tests[::2], tests[1::2], strict=False)] + tests[len(tests) // 2 * 2 :]
-    return tests[0] if tests else F.lit(False)
+    return F.expr(" OR ".join(f"{key} BETWEEN {lo}L AND {hi}L" for lo, hi in capped(ranges)) or "false")
+
+
+def united(plans: list[Plan]) -> Plan:
+    """One plan for several windows: what any of them needs. A node that one window holds whole needs no mask."""
+    if len(plans) == 1:
+        return plans[0]
+    out = Plan(merged([r for p in plans for r in p.ranges]), {}, sum(p.contained for p in plans), sum(p.met for p in plans), merged([r for p in plans for r in p.sure]))
+    starts = [lo for lo, _ in out.sure]
+    for p in plans:
+        for node, masks in p.masks.items():
+            i = bisect_right(starts, node) - 1
+            if i < 0 or out.sure[i][1] < node:
+                out.masks.setdefault(node, []).extend(m for m in masks if m not in out.masks[node])
+    return out
 
 
-def candidates(df: DataFrame, plan: Plan, key: str, shape: str = "shape") -> DataFrame:
-    """Rows of the plan's ranges whose shape meets the mask of their key, if it has one."""
-    rows = df.where(within(F.col(key), plan.ranges))
+def masked(rows: DataFrame, plan: Plan, node: str, whole: bool = False, shape: str = "shape") -> DataFrame:
+    """Of the rows in a node with masks those whose shape meets one of them, or, for ``whole``, lies in one."""
     if not plan.masks:
         return rows
-    masks = df.sparkSession.createDataFrame(list(plan.masks.items()), "_key bigint, _mask bigint")  # nodes on a window's border, as many as the planner emits
-    rows = rows.join(F.broadcast(masks), F.col(key) == F.col("_key"), "left")
-    return rows.where(F.col("_mask").isNull() | (F.col(shape).bitwiseAND(F.col("_mask")) != 0)).drop("_key", "_mask")
+    masks = rows.sparkSession.createDataFrame(list(plan.masks.items()), "_node bigint, _masks array<bigint>")  # nodes on windows' borders, as many as the planner emits
+    rows = rows.join(F.broadcast(masks), F.col(node) == F.col("_node"), "left")
+    fits = (lambda m: F.col(shape).bitwiseAND(F.bitwise_not(m)) == 0) if whole else (lambda m: F.col(shape).bitwiseAND(m) != 0)
+    return rows.where(F.col("_masks").isNull() | F.exists("_masks", fits)).drop("_node", "_masks")
 
 
 def merge_ranges(df: DataFrame) -> DataFrame:

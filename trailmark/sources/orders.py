@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import SparkSession
 
@@ -31,9 +32,11 @@ def to_json(index: AdaptiveIndex) -> str:
         "spatial_boundary": {"xmin": e.xmin, "ymin": e.ymin, "xmax": e.xmax, "ymax": e.ymax},
     }
     rows = []
+    by_quad = sorted((n["quad"], n["order"]) for n in index.nodes)
+    quads = [q for q, _ in by_quad]
     for n in sorted(index.nodes, key=lambda n: n["order"]):
         last = n["quad"] + subtree(index.resolution, n["level"]) - 1
-        below = sorted(m["order"] for m in index.nodes if n["quad"] <= m["quad"] <= last)
+        below = sorted(o for _, o in by_quad[bisect_left(quads, n["quad"]) : bisect_right(quads, last)])
         parent = {**_box(index, n), "alpha": n["alpha"], "beta": n["beta"], "level": n["level"], "element_code": n["quad"], "ix": n["ix"], "iy": n["iy"], "count": n["n"], "union_mask": n["union"]}
         rows.append({"order": n["order"], "parent": parent, "coverage": {"effective_subtree_count": len(below), "effective_subtree_orders": below}})
     return json.dumps({"metadata": meta, "ordering": rows})
@@ -60,6 +63,15 @@ def position(resolution: int, level: int, code: int) -> tuple[int, int]:
     return ix, iy
 
 
+def write_order(spark: SparkSession, index: AdaptiveIndex, path: str) -> None:
+    spark.createDataFrame([(to_json(index),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def order_path(base: str, dataset: str, least: int, resolution: int, alpha: int, beta: int) -> str:
+    """Where an index's order file lies by its parameters."""
+    return f"{base}/{dataset}/order_{least}_{resolution}_{alpha}_{beta}.json"
+
+
 def read_order(spark: SparkSession, path: str) -> AdaptiveIndex:
     return from_json("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))  # one file
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, replace
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,10 +52,28 @@ def read_meta(spark: SparkSession, path: str):
     return kind(**known)
 
 
-def write_index_table(df: DataFrame, path: str) -> None:
-    """The side table: each distinct key and how many rows have it."""
-    df.groupBy("idx").agg(F.count("*").alias("n")).repartitionByRange("idx").sortWithinPartitions("idx").write.mode("overwrite").parquet(f"{path}/index")
+def write_index_table(table: DataFrame, path: str) -> DataFrame:
+    """The side table: each distinct key and how many rows have it, in order of the key; returned as read back."""
+    rows = table.groupBy("idx").agg(F.count("*").alias("n"))
+    rows.repartitionByRange("idx").sortWithinPartitions("idx").write.mode("overwrite").parquet(f"{path}/index")
+    return table.sparkSession.read.schema(rows.schema).parquet(f"{path}/index")
 
 
-def with_extent(index, extent: Extent):
-    return replace(index, extent=extent)
+def looked_up(table: DataFrame, index, side: DataFrame, windows: list) -> DataFrame:
+    """As ``index.select``, by way of the side table: its keys in the windows' ranges, then the rows with these keys."""
+    keys = index.select(side.withColumns(index.parts()), windows).select("idx")
+    return table.join(keys, "idx", "left_semi")
+
+
+def write_shape_table(table: DataFrame, path: str) -> DataFrame:
+    """The adaptive index's shapes: node, shape, its place in the node's order, rows; returned as read back."""
+    rows = table.groupBy("q_order", "shape", F.col("idx").bitwiseAND(F.lit(0xFFFF).cast("bigint")).alias("shape_order")).agg(F.count("*").alias("n"))
+    rows.repartitionByRange("q_order", "shape_order").write.mode("overwrite").parquet(f"{path}/shapes")
+    return table.sparkSession.read.schema(rows.schema).parquet(f"{path}/shapes")
+
+
+def drop_table(spark: SparkSession, path: str) -> bool:
+    """Removes a stored table with all that lies beside it; whether there was one."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
