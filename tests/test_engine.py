@@ -1,4 +1,5 @@
 import itertools
+import json
 import random
 
 import pytest
@@ -10,6 +11,7 @@ from trailmark.learn import bmtree, theta
 from trailmark.model import BEIJING, with_bounds
 from trailmark.operators import range_query, reports, similarity
 from trailmark.plans import indexes
+from trailmark.plans.ranges import united
 from trailmark.session import work_dir
 from trailmark.sources import events, orders, parse, tables, workloads
 from trailmark.streaming import assemble
@@ -61,6 +63,95 @@ def test_batch_join_agrees(spark, odd):
         assert sorted((r.oid, r.tid) for r in got if r.qid == q) == sorted(map(tuple, range_query.brute_force(odd, w).select("oid", "tid").collect()))
 
 
+def test_many_whole_extent_windows(spark, odd):
+    """They have every cell, but only their four outer ones travel."""
+    whole = [(q, (115.29, 39.0, 117.83, 41.5)) for q in range(300)]
+    want = range_query.brute_force(odd, whole[0][1]).count()
+    got = range_query.batch_join(odd, workloads.windows_list(spark, whole)).groupBy("qid").count().collect()
+    assert len(got) == 300 and {r["count"] for r in got} == {want}
+    index = indexes.ShapeIndex(resolution=5)
+    got = range_query.range_queries(index.index(odd), index, whole).groupBy("qid").count().collect()
+    assert len(got) == 300 and {r["count"] for r in got} == {want}
+
+
+def test_similarity_by_key_ranges_loses_nothing(spark, odd):
+    keys = spark.createDataFrame([(1, 10, "r"), (2, 5, "a"), (3, 4, "a"), (4, 3, "a"), (5, 60, "r"), (6, 90, "r")], "qid int, oid bigint, tid string")
+    q = similarity.as_queries(odd, keys).dropDuplicates(["qid"])  # of an id with two rows, one asks
+    q = spark.createDataFrame(q.collect(), q.schema)
+    made = [indexes.ShapeIndex(resolution=6), indexes.XZIndex(resolution=6), indexes.XZPlusIndex(resolution=5, alpha=4, beta=3), indexes.XZStarIndex(resolution=7), indexes.CurveIndex(bits=12), indexes.AdaptiveIndex(resolution=6), indexes.BMTreeIndex()]
+    every = odd.count()
+    for i, index in enumerate(made):
+        kind = ("frechet", "hausdorff", "dtw")[i % 3]
+        keyed = index.index(odd)
+        keyed = spark.createDataFrame(keyed.collect(), keyed.schema)
+        want = sorted(map(tuple, similarity.within(odd, q, 0.5, kind).collect()))
+        assert sorted(map(tuple, similarity.within_indexed(keyed, index, q, 0.5, kind).collect())) == want
+        for k in (0, 3, 500) if not i else (3,):
+            want = sorted(map(tuple, similarity.nearest(odd, q, k, kind).collect()))
+            assert sorted(map(tuple, similarity.nearest_indexed(keyed, index, q, k, kind).collect())) == want, (index.name, kind, k)
+        left = {r.qid: r.candidates for r in similarity.candidate_counts(keyed, index, q, 0.05).collect()}
+        assert len(left) == 6 and left[5] < every and all(n <= every for n in left.values())
+
+
+def test_plans_of_several_windows_are_united():
+    index, some = indexes.ShapeIndex(resolution=6), WINDOWS[:8]
+    plans = [index.plan(w) for w in some]
+    one = united(plans)
+    held = lambda ranges, k: any(lo <= k <= hi for lo, hi in ranges)
+    for p in plans:
+        assert all(held(one.ranges, lo) and held(one.ranges, hi) for lo, hi in p.ranges)
+        assert all(held(one.sure, node) or masks[0] in one.masks[node] for node, masks in p.masks.items())
+    assert not any(held(one.sure, node) for node in one.masks)
+
+
+def test_a_node_with_very_many_shapes_is_toured_whole(spark):
+    rows = spark.range(1, 5000).selectExpr("1L AS quad", "id * 13 % 65536 AS shape", "1L AS n")
+    got = sorted((r.shape_order, r.shape) for r in indexes.shape_orders(rows, "quad").collect())
+    left = {s for _, s in got}
+    assert [o for o, _ in got] == list(range(4999))
+    here = min(left)
+    for i, (_, s) in enumerate(got[:400]):
+        assert s == here
+        left.discard(s)
+        here = min(left, key=lambda x: ((x ^ s).bit_count(), x))
+
+
+def test_side_tables_and_dropping(spark, odd):
+    path = work_dir(spark, "side")
+    index = indexes.AdaptiveIndex(resolution=6)
+    table = tables.write_table(odd, index, path)
+    shapes = tables.write_shape_table(table, path)
+    assert shapes.agg(F.sum("n")).first()[0] == odd.count()
+    assert shapes.groupBy("q_order").agg(F.max("shape_order").alias("m"), F.count("*").alias("c")).where("m <> c - 1").count() == 0
+    side = tables.write_index_table(table, path)
+    assert side.agg(F.sum("n")).first()[0] == odd.count()
+    assert tables.drop_table(spark, path) and not tables.drop_table(spark, path)
+
+
+def test_suite_from_a_file(spark, small, tmp_path):
+    from trailmark.cli import main
+
+    text = model.to_text(events.trajectories(spark.read.parquet(f"{small}/events.parquet")))
+    text.write.text(str(tmp_path / "trips"))
+    one = text.first().value.split("-")
+    windows = [[116.0, 39.5, 116.6, 40.3], [115.5, 39.1, 116.0, 39.9]]
+    suite = {"datasets": [{"name": "trips", "path": str(tmp_path / "trips"), "windows": windows, "queries": [[int(one[0]), one[1]]]}], "methods": ["XZSTAR"], "topKValues": [3], "similarityThresholds": [0.2], "outputDir": str(tmp_path / "out")}
+    (tmp_path / "suite.json").write_text(json.dumps(suite))
+    main(["suite", str(tmp_path / "suite.json")])
+    lines = (tmp_path / "out" / "similarity.csv").read_text().splitlines()
+    assert lines[0] == experiments.COLUMNS["similarity"] and len(lines) == 3
+    rows = [dict(zip(lines[0].split(","), x.split(","), strict=True)) for x in lines[1:]]
+    n = text.count()
+    assert all(0 < float(r["avg_candidates"]) < n and float(r["avg_row_key_ranges"]) > 0 for r in rows) and float(rows[0]["avg_final_size"]) == 3
+    assert (tmp_path / "out" / "comparison.csv").read_text().count("\n") == 2
+    with pytest.raises(ValueError):
+        experiments.config("{}")
+    main(["dump", str(tmp_path / "trips"), "116.0,39.5,116.6,40.3", str(tmp_path / "dump")])
+    assert (tmp_path / "dump" / "verdict=correct").exists()
+    experiments.write_statistics(str(tmp_path / "s.csv"), [experiments.Measure(float(i), i, 2 * i, 1) for i in range(1, 11)])
+    assert (tmp_path / "s.csv").read_text().splitlines()[3] == "candidates,2,20,11,12,14,16,18"
+
+
 def test_tables_and_their_description_come_back(spark, odd):
     for index in (indexes.ShapeIndex(alpha=4), indexes.CurveIndex(), indexes.AdaptiveIndex(), indexes.BMTreeIndex((indexes.BMNode(1, 1, 2), indexes.BMNode(-1), indexes.BMNode(-1)))):
         path = work_dir(spark, "test")
@@ -182,6 +273,18 @@ def test_experiments(spark, small, tmp_path):
     assert len(experiments.similarity_suite(data, first, ["frechet"], [5], [0.1])) == 2
 
 
+def test_a_stream_fills_a_table(spark, small, tmp_path):
+    p = events.points(spark.read.parquet(f"{small}/events.parquet")).select("oid", F.col("ts").cast("timestamp").alias("ts"), "xi", "yi")
+    p.coalesce(1).write.parquet(str(tmp_path / "in"))
+    index = indexes.CurveIndex()
+    stream = assemble.sessions(spark.readStream.schema(p.schema).parquet(str(tmp_path / "in")), "1 day")
+    query = assemble.write_stream(stream, index, str(tmp_path / "table"), str(tmp_path / "state")).start()
+    query.processAllAvailable()
+    query.stop()
+    rows = spark.read.parquet(str(tmp_path / "table" / "rows"))
+    assert 0 < rows.count() <= assemble.sessions(p, "1 day").count() and rows.where("idx > max_sfc").count() == 0
+
+
 def test_stream_and_batch_agree(spark, small, tmp_path):
     p = events.points(spark.read.parquet(f"{small}/events.parquet")).select("oid", F.col("ts").cast("timestamp").alias("ts"), "xi", "yi")
     p.coalesce(2).write.parquet(str(tmp_path / "in"))

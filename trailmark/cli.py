@@ -14,6 +14,9 @@ from trailmark.session import session, ship
 from trailmark.sources import parse, tables, workloads
 
 
+EXTENTS = {"beijing": model.BEIJING, "chengdu": model.CHENGDU}
+
+
 def _windows(text: str) -> list[tuple[float, ...]]:
     return [tuple(map(float, w.split(","))) for w in text.split(";") if w.strip()]
 
@@ -27,6 +30,7 @@ def main(args: list[str] | None = None) -> None:
         for n in names:
             m.add_argument(n)
         m.add_argument("--kind", choices=sorted(KINDS), default="shape")
+        m.add_argument("--extent", choices=sorted(EXTENTS), default="beijing")
         return m
 
     mode("store", "text", "table")
@@ -46,7 +50,7 @@ def main(args: list[str] | None = None) -> None:
     ship(spark)
     data = model.trajectories(parse.read_text(spark, a.text)) if hasattr(a, "text") else None
     if a.mode == "store":
-        tables.write_table(data, experiments.method(a.kind), a.table)
+        tables.write_table(data, experiments.method(a.kind, EXTENTS[a.extent]), a.table)
     elif a.mode == "query":
         table, index = tables.read_table(spark, a.table)
         range_query.range_queries(table, index, list(enumerate(_windows(a.windows)))).show(100, False)
@@ -57,9 +61,9 @@ def main(args: list[str] | None = None) -> None:
         found = similarity.within_indexed(table, index, asked, float(a.value), a.distance) if a.mode == "similar" else similarity.nearest_indexed(table, index, asked, int(a.value), a.distance)
         found.orderBy("qid", "dist").show(100, False)
     elif a.mode == "validate":
-        experiments.validate(data, experiments.method(a.kind), _windows(a.windows)).show(100, False)
+        experiments.validate(data, experiments.method(a.kind, EXTENTS[a.extent]), _windows(a.windows)).show(100, False)
     elif a.mode == "dump":
-        experiments.dump_validation(data, experiments.method(a.kind), _windows(a.windows), a.out).groupBy("qid", "verdict").count().show(100, False)
+        experiments.dump_validation(data, experiments.method(a.kind, EXTENTS[a.extent]), _windows(a.windows), a.out).groupBy("qid", "verdict").count().show(100, False)
     elif a.mode == "suite":
         text = "\n".join(r.value for r in spark.read.text(a.config, wholetext=True).collect())  # one file
         experiments.run_suite(spark, text, lambda path: model.trajectories(parse.read_text(spark, path)))
@@ -73,7 +77,8 @@ def main(args: list[str] | None = None) -> None:
     elif a.mode == "ablation":
         experiments.write_csv(a.csv, "ablation", experiments.ablation(spark, data, _windows(a.windows)))
     else:
-        text = theta.to_text(theta.learn(data, model.BEIJING)) if a.kind != "bmtree" else bmtree.to_text(bmtree.learn(data, _windows(a.windows), model.BEIJING), 20)
+        extent = EXTENTS[a.extent]
+        text = theta.to_text(theta.learn(data, extent)) if a.kind != "bmtree" else bmtree.to_text(bmtree.learn(data, _windows(a.windows), extent), 20)
         with open(a.out, "w") as f:
             f.write(text)
 

@@ -143,6 +143,3 @@ class Grid:
             for j in range(j0, min(j1, b - 1) + 1):
                 mask |= 1 << i * b + j
         return mask
-
-    def full_mask(self) -> int:
-        return (1 << self.alpha * self.beta) - 1

@@ -10,8 +10,8 @@ from trailmark.functions.grid import Grid
 from trailmark.model import Extent
 from trailmark.plans.indexes import CurveIndex
 
-SEED = 20_260_421
-#: Points and windows that a layout is judged by.
+SEED = 7_919
+#: Points and windows that a layout is judged by.
 POINTS, PIVOTS = 10_000, 300
 #: A window's side, as a share of the extent.
 SIDE = 0.01
