@@ -379,9 +379,11 @@ class AdaptiveIndex(Planned):
         self.nodes.sort(key=lambda n: n["quad"])
         for i, n in enumerate(self.nodes):
             n["order"] = i
-        unions = {u["q_order"]: u["m"] for u in self._placed(df).groupBy("q_order").agg(F.bit_or("shape").alias("m")).collect()}
+        shapes = self.shapes(df).cache()
+        unions = {u["q_order"]: u["m"] for u in shapes.groupBy("q_order").agg(F.bit_or("shape").alias("m")).collect()}
         for n in self.nodes:
             n["union"] = unions.get(n["order"], 0)
+        self._built = df, shapes
         return self
 
     def _table(self, spark) -> DataFrame:
@@ -411,7 +413,8 @@ class AdaptiveIndex(Planned):
         if not self.nodes:
             self.build(df)
         # the masks have 16 cells at most, hence a node 65,535 shapes and the key 16 bits for them
-        orders = self.shapes(df).select("q_order", "shape", "shape_order")
+        built, shapes = getattr(self, "_built", (None, None))
+        orders = (shapes if built is df else self.shapes(df)).select("q_order", "shape", "shape_order")
         rows = self._placed(df).join(orders, ["q_order", "shape"])
         return rows.withColumn("idx", F.shiftleft("q_order", 16).bitwiseOR(F.col("shape_order").cast("bigint")))
 
