@@ -50,10 +50,10 @@ def prefixes(docs: DataFrame, wins: DataFrame) -> DataFrame:
     spots = wins.select("words", "items", F.posexplode("words").alias("place", "token"))
     vocabulary = spots.select("token").distinct()
     words = docs.select(F.explode(alnum_words(F.col("text"))).alias("token"))
-    if vocabulary.count() <= BLOCK:
-        vocabulary = F.broadcast(vocabulary)
-    counts = words.join(vocabulary, "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
-    ranked = spots.join(counts, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    few = vocabulary.count() <= BLOCK
+    counts = words.join(F.broadcast(vocabulary) if few else vocabulary, "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    # no more rows than the vocabulary; broadcast, so that the places of a common word stay where they are
+    ranked = spots.join(F.broadcast(counts) if few else counts, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     first = F.min(F.struct("df", "token", "place")).alias("first")
     best = ranked.groupBy("words").agg(first, F.first("items").alias("items"))
     return best.select("first.token", "first.place", F.size("words").alias("len"), F.array_join("words", " ").alias("window"), "items")
