@@ -50,7 +50,7 @@ FEW = 200_000
 #: Members that one pivot's copy of its set serves, and those of a bucket's part.
 CHUNK = 256
 #: Word hashes that a Python worker keeps.
-KEPT_WORDS = 100_000
+KEPT_WORDS = 50_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -143,6 +143,7 @@ def _sketched(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
             values = np.concatenate(keys) if keys else np.empty(0, np.int64)
             arrays = [batch.column("doc_id"), batch.column("print"), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.ListArray.from_arrays(offsets, values)]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "print", "n", "lo", "hi", "bands"])
+    _words.clear()  # a worker outlives the task
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
@@ -169,6 +170,7 @@ def _compared(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
                 out.append((key[0], key[1], m, both, len(items) + len(pivot) - both))
             columns = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["pivot", "pprint", "member", "both", "any"])
+    _words.clear()
 
 
 def compared(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -251,6 +253,7 @@ def _marked(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
         for batch in batches:
             out = [marks(shingles(t.as_py(), k)).tolist() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("member"), batch.column("mprint"), pa.array(out, pa.list_(pa.int64()))], ["member", "mprint", "marks"])
+    _words.clear()
 
 
 def _rest(members: DataFrame, done: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:

@@ -38,7 +38,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 KEPT = 100_000
 #: Pairs of pieces whose verdict a worker keeps.
-KEPT_PAIRS = 300_000
+KEPT_PAIRS = 200_000
 #: Fixed values of the model format: kinds of piece and of model.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -210,19 +210,7 @@ def model(data: bytes) -> Model:
     return Model(data)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], least: int = 3 << 20) -> Iterator[pa.RecordBatch]:
-    """Small batches joined: the more words are sorted at once, the longer the prefixes they share."""
-    waiting: list[pa.RecordBatch] = []
-    for batch in batches:
-        waiting.append(batch)
-        if sum(b.nbytes for b in waiting) >= least:
-            yield pa.concat_batches(waiting)
-            waiting = []
-    if waiting:
-        yield pa.concat_batches(waiting)
-
-
-def _slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def _slices(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``most`` bytes."""
     start = size = 0
     for i, n in enumerate(pc.binary_length(texts).to_pylist()):
@@ -241,7 +229,7 @@ def encoded(docs: DataFrame, path: str = MODEL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(data.value)
-        for batch in _gathered(batches):
+        for batch in batches:
             for a, b in _slices(batch.column("text")):
                 part = batch.slice(a, b - a)
                 texts = part.column("text").to_pylist()

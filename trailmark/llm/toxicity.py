@@ -49,7 +49,7 @@ GAIN = 16
 #: Lengths of the beginnings of words that can be terms, in bytes.
 HEADS = (4, 5, 6, 7)
 THRESHOLD = 0.3
-KEPT_WORDS = 100_000
+KEPT_WORDS = 30_000
 #: Insults in common use.
 INSULTS = "idiot moron stupid loser clown trash scum pathetic worthless disgusting imbecile dumbass bastard asshole".split()
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
