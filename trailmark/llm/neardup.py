@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.shared import small_batches, written
+from trailmark.llm.shared import give_back, small_batches, written
 
 SLOTS, BANDS, ROWS = 96, 24, 4
 #: Places of the longer sketch that sorts out pairs of a bucket before they are compared.
@@ -144,6 +144,7 @@ def _sketched(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
             arrays = [batch.column("doc_id"), batch.column("print"), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.ListArray.from_arrays(offsets, values)]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "print", "n", "lo", "hi", "bands"])
     _words.clear()  # a worker outlives the task
+    give_back()
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
@@ -171,6 +172,7 @@ def _compared(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
             columns = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["pivot", "pprint", "member", "both", "any"])
     _words.clear()
+    give_back()
 
 
 def compared(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -254,6 +256,7 @@ def _marked(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             out = [marks(shingles(t.as_py(), k)).tolist() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("member"), batch.column("mprint"), pa.array(out, pa.list_(pa.int64()))], ["member", "mprint", "marks"])
     _words.clear()
+    give_back()
 
 
 def _rest(members: DataFrame, done: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.shared import small_batches
+from trailmark.llm.shared import give_back, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -210,7 +210,7 @@ def model(data: bytes) -> Model:
     return Model(data)
 
 
-def _slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def _slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``most`` bytes."""
     start = size = 0
     for i, n in enumerate(pc.binary_length(texts).to_pylist()):
@@ -222,23 +222,26 @@ def _slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def _coded(batches: Iterator[pa.RecordBatch], m: Model) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b in _slices(batch.column("text")):
+            part = batch.slice(a, b - a)
+            texts = part.column("text").to_pylist()
+            raw = m.encode(texts)
+            back = [None if t is None else m.decode(np.frombuffer(r, "<i4").tolist()) for t, r in zip(texts, raw, strict=True)]
+            offsets = np.cumsum([0, *(len(r) // 4 for r in raw)], dtype=np.int32)
+            ids = pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(raw), "<i4"))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("text"), ids, pa.array(back, pa.string())], ["doc_id", "text", "ids", "decoded"])
+        give_back()
+
+
 def encoded(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """``docs`` columns doc_id and text, with ``ids`` (array<int>) and ``decoded``, the ids' text."""
     small_batches(docs.sparkSession)
     data = docs.sparkSession.sparkContext.broadcast(_read(path))  # a vocabulary file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(data.value)
-        for batch in batches:
-            for a, b in _slices(batch.column("text")):
-                part = batch.slice(a, b - a)
-                texts = part.column("text").to_pylist()
-                raw = m.encode(texts)
-                values = np.frombuffer(b"".join(raw), "<i4")
-                offsets = np.cumsum([0, *(len(r) // 4 for r in raw)], dtype=np.int32)
-                ids = values.tolist()
-                back = [None if t is None else m.decode(ids[i:j]) for t, i, j in zip(texts, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("text"), pa.ListArray.from_arrays(offsets, values), pa.array(back, pa.string())], ["doc_id", "text", "ids", "decoded"])
+        return _coded(batches, model(data.value))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, text string, ids array<int>, decoded string")
 

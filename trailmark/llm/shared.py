@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
@@ -42,6 +44,14 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, most)
 
 
+def give_back() -> None:
+    """Hands memory that a Python worker has freed back to the machine: it outlives its task, beside an executor that needs it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the usual C library
+    if trim:
+        trim(0)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, its lineage cut."""
     path = work_dir(df.sparkSession, label)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from trailmark.llm import neardup
 from trailmark.llm.licenses import words_of
-from trailmark.llm.shared import small_batches, written
+from trailmark.llm.shared import give_back, small_batches, written
 
 #: Labelled rows that the terms are learned from, at most.
 SAMPLE = 12_000
@@ -314,6 +314,7 @@ def trained(docs: DataFrame, labels: DataFrame) -> Scorer:
             codes = pa.array([_code(v) for v, _ in seen], pa.int64())
             inputs = pa.array([x.tolist() if keep else None for (_, x), keep in zip(seen, batch.column("train").to_pylist(), strict=True)], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), codes, inputs], ["doc_id", "code", "inputs"])
+            give_back()
 
     n = docs.count()
     share = F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(max(1, n // TRAIN))) == 0
@@ -335,7 +336,9 @@ def score_of(scorer: Scorer, spark: SparkSession) -> Callable[[Column], Column]:
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array([shared.value.score(t.as_py()) for t in texts], pa.float64())
+        scores = pa.array([shared.value.score(t.as_py()) for t in texts], pa.float64())
+        give_back()
+        return scores
 
     return score
 
